@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnloom.llm import copies, groups, lookalikes, splits
+from tarnloom.llm import copies, garble, groups, lookalikes, near, overlap, splits
 from tarnloom.plans.lineage import table
 
 
@@ -22,6 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_splits": _on("manifest")(splits.resplit),
     "p2_found": _on("manifest")(copies.copy_pairs),
     "p2_collapsed": _on("manifest")(copies.collapse),
+    "p3_found": _on("manifest")(garble.garbled_rows),
+    "p3_restored": _on("manifest")(garble.repair),
+    "p4_found": _on("manifest")(near.near_pairs),
+    "p4_groups": _on("manifest")(near.near_groups),
+    "p5_found": _on("manifest", "clip_jobs")(overlap.overlap_pairs),
+    "p5_counts": _on("manifest", "clip_jobs")(overlap.overlap_counts),
     "p6_found": _on("manifest")(lookalikes.look_alike_pairs),
     "p6_canonical": _on("manifest")(lambda m: lookalikes.unify(m.select("pos", "text"))),
     "p7_found": _on("match_pairs", "manifest")(
