@@ -10,8 +10,8 @@ mappings applied to all records, twins or none.
 Two families are told apart.  UTF-8 bytes read as a one-byte encoding leave
 sequences of two or more characters, which identify themselves once the
 transformation is learned.  One one-byte encoding read as another changes single
-letters, so there a token counts only if its restored form is a common token, or
-a quotation.  U+FFFD is always garbled; it is restored where one clean token
+letters, so there a token counts only if its restored form is a common token, a
+quotation or a lone dash.  U+FFFD is always garbled; it is restored where one clean token
 fits its pattern best.
 """
 
@@ -27,6 +27,9 @@ from tarnloom.plans.lineage import cut
 
 #: Encodings as which UTF-8 is read by mistake (fixed values).
 UTF8_READ_AS = ["cp1252", "latin_1", "cp1251", "mac_roman", "cp437", "cp850", "cp1250", "cp1253", "cp1254", "cp1257", "koi8_r", "cp866"]
+OTHER_SCRIPT = {"cp1251", "cp1253", "koi8_r", "cp866"}
+#: A letter in at least this share of the words of one script is native to it.
+NATIVE_SHARE = 0.02
 #: (encoding of the bytes, encoding as which they are read) (fixed values).
 ONE_BYTE = [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"),
             ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1251", "cp1252"), ("cp1251", "koi8_r"), ("koi8_r", "cp1251")]
@@ -52,14 +55,16 @@ def _read(raw: bytes, encoding: str) -> str:
     return "".join(out)
 
 
-def _one_script(unit: str) -> bool:
-    """Only letters of one script that has words of its own: no sign of damage."""
-    return all(c.isalpha() for c in unit) and (all("Ѐ" <= c <= "ԯ" for c in unit) or all("Ͱ" <= c <= "Ͽ" for c in unit))
+def _natural(unit: str, native: set[str]) -> bool:
+    """Only letters that words of their script are written with: no sign of damage."""
+    return all(c.isalpha() and c in native for c in unit)
 
 
-def unit_table(alphabet: dict[str, int]) -> dict[str, dict[str, str]]:
+def unit_table(alphabet: dict[str, int], native: set[str] = frozenset()) -> dict[str, dict[str, str]]:
     """Per transformation, what each character of the alphabet turns into,
-    mapped back.  ``|lower``: the garbled text was put in lower case later."""
+    mapped back.  ``|lower``: the garbled text was put in lower case later; of
+    Cyrillic and Greek pages only with a sign in it, since their small letters
+    also stand for Latin ones."""
     out: dict[str, dict[str, str]] = {}
     common = sorted(alphabet, key=lambda c: (-alphabet[c], c))
     for enc in UTF8_READ_AS:
@@ -68,10 +73,11 @@ def unit_table(alphabet: dict[str, int]) -> dict[str, dict[str, str]]:
             if x == LOST:
                 continue
             unit = _read(x.encode(), enc)
-            if not _one_script(unit):
+            if not _natural(unit, native):
                 plain.setdefault(unit, x)
-            if unit.lower() != unit and not _one_script(unit.lower()):
-                low.setdefault(unit.lower(), x)
+            small = unit.lower()
+            if small != unit and not (enc in OTHER_SCRIPT and small.isalpha()):
+                low.setdefault(small, x)
         out[f"utf8>{enc}"] = plain
         out[f"utf8>{enc}|lower"] = {u: x for u, x in low.items() if u not in plain}
     for true, read in ONE_BYTE:
@@ -135,6 +141,18 @@ def _skeleton(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, NOT_ASCII, ""))
 
 
+def _native_letters(tokens: DataFrame) -> set[str]:
+    """The Cyrillic and Greek letters that distinct words of their script are
+    regularly written with."""
+    out: set[str] = set()
+    for script in ("IsCyrillic", "IsGreek"):
+        words = tokens.where(F.col("token").rlike(rf"^\p{{{script}}}+$"))
+        seen = words.select(F.explode(F.array_distinct(F.split("token", ""))).alias("c")).groupBy("c").count().collect()
+        n = words.count()
+        out |= {r["c"] for r in seen if r["c"] and r["count"] >= max(1, NATIVE_SHARE * n)}
+    return out
+
+
 def _twin_candidates(tokens: DataFrame, tables: dict[str, dict[str, str]]) -> DataFrame:
     """``(token, n, how, restored)``: what each token would be if a given
     transformation had made it."""
@@ -162,8 +180,8 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     to the driver; tokens stay distributed."""
     odd = df.where(F.col(column).rlike(NOT_ASCII)).select(F.col(column).alias("text"))
     chars = odd.select(F.explode(F.regexp_extract_all("text", F.lit(NOT_ASCII), F.lit(0))).alias("c")).groupBy("c").count()
-    tables = unit_table({r["c"]: r["count"] for r in chars.collect()})
     tokens = cut(odd.select(F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
+    tables = unit_table({r["c"]: r["count"] for r in chars.collect()}, _native_letters(tokens))
     maybe = cut(_twin_candidates(tokens, tables), "maybe")
     key = _skeleton(F.col("token"))
     # a clean twin has the same skeleton and is what the token is restored to; it is
@@ -178,7 +196,8 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     known = {r["how"]: tables[r["how"]] for r in votes if r["n"] >= LEAST_TWINS}
     one_byte = [h for h in known if not many(h)]
     quoted = maybe.where(F.col("how").isin(one_byte) & F.col("restored").rlike(r"^[“‘«„][0-9A-Za-z]+[”’»“]$") & F.col("token").rlike(r"^\p{L}.*\p{L}$"))
-    confirmed = sure.where(F.col("how").isin(one_byte)).select("token", "how").union(quoted.select("token", "how")).distinct()
+    dash = maybe.where(F.col("how").isin(one_byte) & F.col("restored").isin("–", "—") & F.col("token").rlike(r"^\p{L}$"))
+    confirmed = sure.where(F.col("how").isin(one_byte)).select("token", "how").union(quoted.select("token", "how")).union(dash.select("token", "how")).distinct()
     return known, confirmed, tokens
 
 
