@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnloom.llm import copies, garble, groups, lookalikes, near, overlap, splits
+from tarnloom.llm import copies, garble, groups, lookalikes, near, overlap, splits, tokens
 from tarnloom.plans.lineage import table
 
 
@@ -33,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": _on("match_pairs", "manifest")(
         lambda pairs, m: groups.group_pairs(groups.clip_links(pairs, m), "vid_a", "vid_b", "group_vid", "vid")
     ),
+    "p8_ids": _on("documents")(tokens.encode),
 }
