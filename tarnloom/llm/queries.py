@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnloom.llm import copies, garble, groups, lookalikes, near, overlap, splits, tokens
+from tarnloom.llm import copies, garble, groups, leaks, lookalikes, near, overlap, spans, splits, tokens
 from tarnloom.plans.lineage import table
 
 
@@ -34,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda pairs, m: groups.group_pairs(groups.clip_links(pairs, m), "vid_a", "vid_b", "group_vid", "vid")
     ),
     "p8_ids": _on("documents")(tokens.encode),
+    "p9_found": _on("documents", "eval_items")(lambda d, e: leaks.find_leaks(d, e).select("doc_id", "item_id")),
+    "p9_leaked": _on("documents", "eval_items")(leaks.leaked_items),
+    "p10_found": _on("documents")(spans.shared_pairs),
+    "p10_coverage": _on("documents")(spans.coverage),
 }
