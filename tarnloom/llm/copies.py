@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnloom.llm.norm import captions
+from tarnloom.llm.norm import captions, content_key
 from tarnloom.plans.lineage import cut
 
 #: Partial counts that one trie may hold: at most about 100 MB of Python.
@@ -148,7 +148,7 @@ def radix_count(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 def canonical_rows(manifest: DataFrame) -> DataFrame:
     """``(pos, key)``: canonical bytes of the captions of six or more words."""
-    return captions(manifest).select("pos", F.col("ckey").cast("binary").alias("key"))
+    return captions(manifest).select("pos", content_key(F.col("shown")).cast("binary").alias("key"))
 
 
 def collapse(manifest: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ number.  Records with the same words and content are joined as one.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,17 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnloom.llm.groups import group_pairs
-from tarnloom.llm.norm import captions
-from tarnloom.plans.lineage import cut
+from tarnloom.llm.norm import captions, key_spelled, spelled, words_spelled
+from tarnloom.plans.lineage import cut, drop
 
 POSITIONS = 1 << 20
 #: A positional byte of at most so many records is indexed on its own, others in pairs.
-RARE = 10
+RARE = 24
 #: Above so many words a record is indexed by single positional bytes only,
 #: since its pairs would grow with the square of its length.
 LONG = 240
 
-_INDEX = "key long, rid long, side int, n int, s0 long, s1 long"
+_INDEX = "key long, rid long, meta int, s0 long, s1 long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -100,7 +101,7 @@ def _index_rows(rid: np.ndarray, side: np.ndarray, hashes: pa.Array, freq: np.nd
     keys.append(pos[long] | (1 << 41))
     rows.append(row[long])
     key, at = np.concatenate(keys), np.concatenate(rows)
-    return [key, rid[at], side[at], n[at].astype(np.int32), sig[0][at].view(np.int64), sig[1][at].view(np.int64)]
+    return [key, rid[at], (n[at] * 4 + side[at]).astype(np.int32), sig[0][at].view(np.int64), sig[1][at].view(np.int64)]
 
 
 def _least_shared(n):
@@ -109,21 +110,21 @@ def _least_shared(n):
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cutter = re.compile("[ :|]")
     for b in batches:
         ok = []
-        for x, y in zip(b["bag_a"].to_pylist(), b["bag_b"].to_pylist()):
-            u, v = Counter(x.split(" ")), Counter(y.split(" "))
+        for x, y in zip(b["spelled_a"].to_pylist(), b["spelled_b"].to_pylist()):
+            u, v = Counter(cutter.split(x)), Counter(cutter.split(y))
             ok.append(5 * sum(min(k, v[w]) for w, k in u.items() if w in v) >= 2 * (u.total() + v.total()))
         yield pa.RecordBatch.from_arrays([b["a"], b["b"]], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar_classes(classes: DataFrame, across: bool = False) -> DataFrame:
-    """``(a, b)``, a < b: the classes of ``classes(rid, bag, ckey, side)`` whose
-    bags of words (joined by blanks) have a similarity of 0.8 or more and whose
-    content keys differ.  ``across``: only pairs whose ``side`` bits (1 and 2)
-    hold both bits in different classes.  Empty bags pair with nothing."""
+def candidates(classes: DataFrame, across: bool = False) -> DataFrame:
+    """``(a, b)``, a < b: pairs of ``classes(rid, spelled, side)`` that the index
+    proposes and the tally lets pass; all pairs of 0.8 or more are among them.
+    ``across``: only pairs whose ``side`` bits (1 and 2) lie on both sides."""
     spark = classes.sparkSession
-    hashed = classes.select("rid", "side", F.transform(F.split("bag", " "), lambda w: F.xxhash64(w)).alias("h"))
+    hashed = classes.select("rid", "side", F.transform(words_spelled(F.col("spelled")), lambda w: F.xxhash64(w)).alias("h"))
     counted = hashed.select("h").mapInArrow(_tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
     freq = np.zeros(POSITIONS, np.int64)
     got = counted.toPandas()  # at most 2^20 rows
@@ -141,46 +142,59 @@ def similar_classes(classes: DataFrame, across: bool = False) -> DataFrame:
 
     index_rows = hashed.mapInArrow(index, _INDEX)
     a, b = index_rows.alias("x"), index_rows.alias("y")
-    words = F.col("x.n") + F.col("y.n")
+    words = F.shiftright("x.meta", 2) + F.shiftright("y.meta", 2)
     apart = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     cond = (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (apart <= words - 2 * _least_shared(words))
     if across:
-        sides = lambda p, q: (F.col("x.side").bitwiseAND(p) > 0) & (F.col("y.side").bitwiseAND(q) > 0)
+        sides = lambda p, q: (F.col("x.meta").bitwiseAND(p) > 0) & (F.col("y.meta").bitwiseAND(q) > 0)
         cond = cond & (sides(1, 2) | sides(2, 1))
-    found = a.join(b, cond).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-    text = lambda s: classes.select(F.col("rid").alias(s), F.col("bag").alias(f"bag_{s}"), F.col("ckey").alias(f"ckey_{s}"))
-    met = found.join(text("a"), "a").join(text("b"), "b").where(F.col("ckey_a") != F.col("ckey_b"))
-    return met.select("a", "b", "bag_a", "bag_b").mapInArrow(_verify, "a long, b long")
+    return a.join(b, cond).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
 
 
-def bags(manifest: DataFrame) -> DataFrame:
-    """``(pos, ckey, bag)``: the captions of six or more words with their words
-    in sorted order, joined by blanks."""
-    return captions(manifest, with_bag=True).select("pos", "ckey", F.array_join(F.array_sort("words"), " ").alias("bag"))
+def looked_up(pairs: DataFrame, few: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the spelling of either side."""
+    text = lambda s: few.select(F.col("rid").alias(s), F.col("spelled").alias(f"spelled_{s}"))
+    return pairs.join(text("a"), "a").join(text("b"), "b")
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
-    """``(ckey, bag, rid, n)``: rows of one content and one bag as one class,
-    named by its smallest position."""
-    return rows.groupBy("ckey", "bag").agg(F.min("pos").alias("rid"), F.count("*").alias("n"))
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
 
 
-def members(rows: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(rid, pos, ...)``: the rows of the classes in ``wanted(rid)``; classes of
-    several rows are looked up, those of one row are their own row."""
-    few = classes.join(wanted, "rid", "left_semi")
-    return rows.join(few.select("ckey", "bag", "rid"), ["ckey", "bag"]).drop("ckey", "bag")
+def verified(pairs: DataFrame, few: DataFrame) -> DataFrame:
+    """The pairs of different content whose words are similar enough."""
+    met = looked_up(pairs, few).where(key_spelled(F.col("spelled_a")) != key_spelled(F.col("spelled_b")))
+    return met.select("a", "b", "spelled_a", "spelled_b").mapInArrow(_verify, "a long, b long")
+
+
+def spelled_rows(manifest: DataFrame) -> DataFrame:
+    """``(pos, spelled)`` of the captions of six or more words."""
+    return captions(manifest).select("pos", spelled(F.col("shown")).alias("spelled"))
+
+
+def classes_of(rows: DataFrame, *extra) -> DataFrame:
+    """``(spelled, rid, n, ...)``: rows of one spelling as one class, named by its
+    smallest position."""
+    return rows.groupBy("spelled").agg(F.min("pos").alias("rid"), F.count("*").alias("n"), *extra)
+
+
+def members(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """``(rid, pos, ...)``: the rows of the classes in ``few(rid, spelled)``."""
+    return rows.join(few.select("spelled", "rid"), "spelled").drop("spelled")
 
 
 def near_pairs(manifest: DataFrame) -> DataFrame:
     """``(pos_a, pos_b)``: rows with a similarity of 0.8 or more that are not of
     the same content.  Nulls, blanks and captions under six words pair with
     nothing."""
-    rows = cut(bags(manifest), "bags")
+    rows = cut(spelled_rows(manifest), "rows")
     classes = cut(classes_of(rows).withColumn("side", F.lit(0)), "classes")
-    pairs = cut(similar_classes(classes), "near")
-    ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-    rows_of = cut(members(rows, classes, ends).select("rid", "pos"), "members")
+    found = cut(candidates(classes), "found")
+    few = cut(classes.select("rid", "spelled").join(ends_of(found), "rid", "left_semi"), "few")
+    drop(classes)
+    pairs = cut(verified(found, few), "near")
+    few = few.join(ends_of(pairs), "rid", "left_semi")
+    rows_of = cut(members(rows, few), "members")
     left = rows_of.select(F.col("rid").alias("a"), F.col("pos").alias("p"))
     right = rows_of.select(F.col("rid").alias("b"), F.col("pos").alias("q"))
     return pairs.join(left, "a").join(right, "b").select(F.least("p", "q").alias("pos_a"), F.greatest("p", "q").alias("pos_b"))
@@ -188,14 +202,15 @@ def near_pairs(manifest: DataFrame) -> DataFrame:
 
 def near_groups(manifest: DataFrame) -> DataFrame:
     """``(pos, class_pos, group_pos, links)``: for every caption of six or more
-    words its class of equal content and words, the group of near-duplicates it
+    words its class of equal words in equal order, the group of near-duplicates it
     belongs to, directly or through others, and the number of classes that its
     class is linked to."""
-    rows = cut(bags(manifest), "bags")
+    rows = cut(spelled_rows(manifest), "rows")
     classes = cut(classes_of(rows).withColumn("side", F.lit(0)), "classes")
-    pairs = cut(similar_classes(classes), "near")
+    found = cut(candidates(classes), "found")
+    pairs = cut(verified(found, classes.join(ends_of(found), "rid", "left_semi")), "near")
     group = group_pairs(pairs, "a", "b", "group_pos", "rid")
     links = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).groupBy("rid").agg(F.count("*").alias("links"))
     named = classes.join(group, "rid", "left").join(links, "rid", "left")
-    named = named.select("ckey", "bag", F.col("rid").alias("class_pos"), F.coalesce("group_pos", "rid").alias("group_pos"), F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(named, ["ckey", "bag"]).select("pos", "class_pos", "group_pos", "links")
+    named = named.select("spelled", F.col("rid").alias("class_pos"), F.coalesce("group_pos", "rid").alias("group_pos"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(named, "spelled").drop("spelled")

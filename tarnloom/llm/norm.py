@@ -70,17 +70,23 @@ def _squeezed(c: Column) -> Column:
     return F.regexp_replace(c, NOT_WORD, "")
 
 
-def content_key(shown: Column) -> Column:
-    """Equal for texts of the same content.  A card (two or more ``name: value``
-    fields between ``|`` or ``;``) gives its fields in sorted order, joined by
-    ``|``; any other text its letters and digits, which hold no ``|``."""
-    low = F.lower(shown)
+def _card(low: Column) -> tuple[Column, Column]:
+    """The fields of a text, and whether they make it a card."""
     fields = F.filter(F.split(low, "[|;]"), lambda p: p.rlike(r"[\p{L}\p{N}]"))
     is_card = (
         low.rlike("[|;]")
         & (F.size(fields) >= 2)
         & F.forall(fields, lambda p: p.rlike(r"^[^:]*[\p{L}\p{N}][^:]*:(?s:.)*[\p{L}\p{N}]"))
     )
+    return fields, is_card
+
+
+def content_key(shown: Column) -> Column:
+    """Equal for texts of the same content.  A card (two or more ``name: value``
+    fields between ``|`` or ``;``) gives its fields in sorted order, joined by
+    ``|``; any other text its letters and digits, which hold no ``|``."""
+    low = F.lower(shown)
+    fields, is_card = _card(low)
     pair = F.transform(
         fields,
         lambda p: F.concat(_squeezed(F.substring_index(p, ":", 1)), F.lit(":"), _squeezed(F.regexp_replace(p, r"^[^:]*:", ""))),
@@ -88,16 +94,35 @@ def content_key(shown: Column) -> Column:
     return F.when(is_card, F.array_join(F.array_sort(pair), "|")).otherwise(_squeezed(low))
 
 
-def captions(manifest, least_words: int = 6, with_bag: bool = False):
-    """``(pos, text, shown, ckey[, words])`` of the captions of at least
-    ``least_words`` words.  Null, empty and short texts are left out."""
+def spelled(shown: Column) -> Column:
+    """The words in order, joined by blanks; of a card its fields in sorted order,
+    as ``name:value`` joined by ``|``, each of words joined by blanks.  It holds
+    both the words (``words_spelled``) and the content key (``key_spelled``)."""
+    low = F.lower(shown)
+    fields, is_card = _card(low)
+    joined = lambda c: F.array_join(words_of(c), " ")
+    pair = F.transform(
+        fields, lambda p: F.concat(joined(F.substring_index(p, ":", 1)), F.lit(":"), joined(F.regexp_replace(p, r"^[^:]*:", "")))
+    )
+    return F.when(is_card, F.array_join(F.array_sort(pair), "|")).otherwise(joined(low))
+
+
+def words_spelled(c: Column) -> Column:
+    return F.split(c, "[ :|]")
+
+
+def key_spelled(c: Column) -> Column:
+    squeezed = F.replace(c, F.lit(" "), F.lit(""))
+    return F.when(c.contains("|"), F.array_join(F.array_sort(F.split(squeezed, "[|]")), "|")).otherwise(squeezed)
+
+
+def captions(manifest, least_words: int = 6):
+    """``(pos, text, shown)`` of the captions of at least ``least_words`` words.
+    Null, empty and short texts are left out."""
     shown = display(F.col("text"))
-    out = (
+    return (
         manifest.select("pos", "text")
         .where(F.col("text").isNotNull() & F.col("pos").isNotNull())
         .select("pos", "text", shown.alias("shown"))
-        .withColumn("words", words_of(F.col("shown")))
-        .where(F.size("words") >= least_words)
-        .withColumn("ckey", content_key(F.col("shown")))
+        .where(F.size(words_of(F.col("shown"))) >= least_words)
     )
-    return out if with_bag else out.drop("words")

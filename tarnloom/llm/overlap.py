@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
-from tarnloom.llm.near import bags, similar_classes
-from tarnloom.plans.lineage import cut
+from tarnloom.llm.near import candidates, classes_of, ends_of, looked_up, members, spelled_rows, verified
+from tarnloom.llm.norm import key_spelled
+from tarnloom.plans.lineage import cut, drop
 
 TRAIN, EVAL = 1, 2
 
@@ -28,26 +29,32 @@ def effective_split(manifest: DataFrame, clip_jobs: DataFrame) -> DataFrame:
 
 
 def sided_rows(manifest: DataFrame, clip_jobs: DataFrame) -> DataFrame:
-    """``(pos, ckey, bag, split, side)`` of the captions that have a split."""
+    """``(pos, spelled, split, side)`` of the captions that have a split."""
     split = effective_split(manifest, clip_jobs)
-    return bags(manifest).join(split, "pos").withColumn("side", F.when(F.col("split") == "train", TRAIN).otherwise(EVAL))
+    return spelled_rows(manifest).join(split, "pos").withColumn("side", F.when(F.col("split") == "train", TRAIN).otherwise(EVAL))
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
-    """``(train_pos, eval_pos, exact)`` over ``sided_rows``."""
-    train = rows.where(F.col("side") == TRAIN).select(F.xxhash64("ckey").alias("h"), "ckey", F.col("pos").alias("train_pos"))
-    held = rows.where(F.col("side") == EVAL).select(F.xxhash64("ckey").alias("h"), "ckey", F.col("pos").alias("eval_pos"))
-    same = train.join(held, ["h", "ckey"]).select("train_pos", "eval_pos", F.lit(True).alias("exact"))
-
-    classes = cut(rows.groupBy("ckey", "bag").agg(F.min("pos").alias("rid"), F.bit_or("side").alias("side")), "classes")
-    near = cut(similar_classes(classes, across=True), "near")
-    ends = near.select(F.col("a").alias("rid")).union(near.select("b")).distinct()
-    few = classes.join(ends, "rid", "left_semi").select("ckey", "bag", "rid")
-    member = cut(rows.join(few, ["ckey", "bag"]).select("rid", "pos", "side"), "members")
-    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    """``(train_pos, eval_pos, exact)`` over ``sided_rows``.
+
+    Classes of equal words are joined, not rows; rows come in at the end."""
+    classes = cut(classes_of(rows, F.bit_or("side").alias("side")), "classes")
+    hashed = classes.select(F.xxhash64(key_spelled(F.col("spelled"))).alias("h"), "rid", "side")
+    train = hashed.where(F.col("side").bitwiseAND(TRAIN) > 0).select("h", F.col("rid").alias("t"))
+    held = hashed.where(F.col("side").bitwiseAND(EVAL) > 0).select("h", F.col("rid").alias("e"))
+    same = cut(train.join(held, "h").select(F.col("t").alias("a"), F.col("e").alias("b")), "same")
+    found = cut(candidates(classes, across=True), "found")
+    few = cut(classes.select("rid", "spelled").join(ends_of(found.union(same)), "rid", "left_semi"), "few")
+    drop(classes)
+    equal = key_spelled(F.col("spelled_a")) == key_spelled(F.col("spelled_b"))  # hashes can collide
+    same = looked_up(same, few).where(equal).select("a", "b", F.lit(True).alias("exact"))
+    near = cut(verified(found, few), "near")
+    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("exact", F.lit(False))
+    links = cut(same.union(both), "links")
+    member = cut(members(rows, few.join(ends_of(links), "rid", "left_semi")).select("rid", "pos", "side"), "members")
     t = member.where(F.col("side") == TRAIN).select(F.col("rid").alias("a"), F.col("pos").alias("train_pos"))
     e = member.where(F.col("side") == EVAL).select(F.col("rid").alias("b"), F.col("pos").alias("eval_pos"))
-    return same.union(both.join(t, "a").join(e, "b").select("train_pos", "eval_pos", F.lit(False).alias("exact")))
+    return links.join(t, "a").join(e, "b").select("train_pos", "eval_pos", "exact")
 
 
 def overlap_pairs(manifest: DataFrame, clip_jobs: DataFrame) -> DataFrame:
