@@ -14,6 +14,7 @@ they have met in tables of bounded size; what no longer fits is computed anew.
 from __future__ import annotations
 
 import base64
+import gc
 import json
 from collections.abc import Iterator
 
@@ -23,8 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarnloom.functions.worker import kept
 
-#: Pre-tokens and prefixes that a worker remembers (about 100 MB together).
-REMEMBERED = 250_000
+#: Pre-tokens, prefixes and pairs of tokens that a worker remembers of each (about
+#: 200 MB together).
+REMEMBERED = 500_000
+#: Bytes of a pre-token whose prefixes are remembered.
+SHORT = 64
 #: Fixed value: the pattern that cuts texts for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -58,16 +62,15 @@ class PrefixEncoder:
             self.halves[t] = (ids[a], ids[b])
             self.rank[t] = i
             self.joined[ids[a], ids[b]] = t
-        # by last byte, the lengths that tokens can have, longest first
-        by_end: dict[int, set[int]] = {}
-        for token in ids:
-            if token and (len(token) == 1 or ids[token] in self.halves):
-                by_end.setdefault(token[-1], set()).add(len(token))
-        self.ends = {b: sorted(n, reverse=True) for b, n in by_end.items()}
         self.usable = {token: i for token, i in ids.items() if len(token) == 1 or i in self.halves}
-        self.longest = max(map(len, ids))
+        # by the last three bytes, the lengths that tokens can have, longest first
+        by_tail: dict[bytes, set[int]] = {}
+        for token in self.usable:
+            if len(token) > 2:
+                by_tail.setdefault(token[-3:], set()).add(len(token))
+        self.tails = {tail: (*sorted(n, reverse=True), 2, 1) for tail, n in by_tail.items()}
         self.side_by_side: dict[int, bool] = {}
-        self.last: dict[bytes, int] = {}
+        self.seen: dict[bytes, tuple] = {}
         self.size = {i: len(token) for token, i in ids.items()}
 
     @classmethod
@@ -122,8 +125,8 @@ class PrefixEncoder:
 
     def last_token(self, data: bytes, end: int, lasts: list[int]) -> int:
         """The last token of ``data[:end]``; ``lasts[i]`` is that of ``data[:i]``."""
-        usable, near, size = self.usable, self.side_by_side, self.size
-        for n in self.ends[data[end - 1]]:
+        usable, near = self.usable, self.side_by_side
+        for n in self.tails.get(data[end - 3 : end] if end > 2 else b"", (2, 1)):
             if n > end:
                 continue
             t = usable.get(data[end - n : end])
@@ -144,28 +147,58 @@ class PrefixEncoder:
 
     def prefixes(self, data: bytes, lasts: list[int] | None = None) -> list[int]:
         """Last tokens of all prefixes; ``lasts`` holds those already known."""
-        lasts, seen = lasts or [-1], self.last
+        lasts = lasts or [-1]
         for end in range(len(lasts), len(data) + 1):
-            if end > 64:  # long runs are not worth remembering by prefix
-                lasts.append(self.last_token(data, end, lasts))
-                continue
-            head = data[:end]
-            t = seen.get(head)
-            if t is None:
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                t = seen[head] = self.last_token(data, end, lasts)
-            lasts.append(t)
+            lasts.append(self.last_token(data, end, lasts))
         return lasts
 
     def tokens(self, data: bytes, lasts: list[int] | None = None) -> list[int]:
-        lasts = lasts if lasts is not None else self.prefixes(data)
+        if lasts is None:
+            if len(data) <= SHORT:
+                return self._remembered(data)
+            lasts = self.prefixes(data)
         out, end = [], len(data)
         while end:
             out.append(lasts[end])
             end -= self.size[lasts[end]]
         return out[::-1]
 
+    def _remembered(self, data: bytes) -> list[int]:
+        """As ``tokens``, with one table of prefixes for all short pre-tokens; only
+        prefixes that a candidate stands on are computed."""
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        if len(self.side_by_side) > REMEMBERED:
+            self.side_by_side.clear()
+        entry, out = self._entry(data), []
+        while entry:
+            out.append(entry[0])
+            entry = entry[1]
+        return out[::-1]
+
+    def _entry(self, head: bytes) -> tuple:
+        """The last token of ``head`` and the entry of what stands before it."""
+        end = len(head)
+        for n in self.tails.get(head[-3:], (2, 1)):
+            if n > end:
+                continue
+            t = self.usable.get(head[-n:])
+            if t is None:
+                continue
+            if n == end:
+                return t, None
+            rest = head[:-n]
+            before = self.seen.get(rest)
+            if before is None:
+                before = self.seen[rest] = self._entry(rest)
+            pair = before[0] << 20 | t
+            ok = self.side_by_side.get(pair)
+            if ok is None:
+                ok = self.side_by_side[pair] = self.may_follow(before[0], t)
+            if ok:
+                return t, before
+        raise ValueError("a byte without a token")
+
 
 class Draft:
     """One pre-token under change: ``append`` and ``replace`` compute only the
@@ -203,7 +236,9 @@ def encode_text(text: str, path: str) -> list[int]:
         if got is None:
             if len(known) > REMEMBERED:
                 known.clear()
-            got = known[piece] = encoder.tokens(piece.encode("utf-8", "surrogatepass"))
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = encoder.usable.get(data)  # a token is its own encoding
+            got = known[piece] = [whole] if whole is not None else encoder.tokens(data)
         out += got
     return out
 
@@ -216,11 +251,15 @@ def encode(df: DataFrame, key: str = "doc_id", column: str = "text", path: str |
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                p = b.slice(at, 500)
-                ids = [encode_text(t, path) if t else [] for t in p.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+        gc.disable()  # the tables hold no cycles, but many objects to walk over
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 500):
+                    p = b.slice(at, 500)
+                    ids = [encode_text(t, path) if t else [] for t in p.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([p.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["key", "ids"])
+        finally:
+            gc.enable()
 
     out = df.select(F.col(key), F.col(column)).mapInArrow(run, f"key {kind}, ids array<int>")
     return out.withColumnRenamed("key", key)
