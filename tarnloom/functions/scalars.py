@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import LongType
 
 
 def wps(words: Column, seconds: Column) -> Column:
@@ -101,7 +102,7 @@ def frame_step(fps: Column, target: int = 20) -> Column:
     return F.when(fps > 0, F.greatest(F.ceil(fps / target), F.lit(1))).otherwise(F.lit(4)).cast("int")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def gcd(a: pd.Series, b: pd.Series) -> pd.Series:
     """Greatest common divisor, by whole columns; null if either is null."""
     both = a.notna() & b.notna()

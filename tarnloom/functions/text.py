@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode text sees it, for Java and RE2 alike.
 WS = r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -49,7 +50,7 @@ def ngrams(words: Column, n: int) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 

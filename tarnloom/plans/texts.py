@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window as W
+from pyspark.sql.types import StringType
 
 from tarnloom.functions import text as T
 from tarnloom.functions.ids import canonical_split
@@ -107,7 +108,7 @@ def issue_summary(m: DataFrame) -> DataFrame:
     return h.groupBy("issue", "split").agg(F.count("*").alias("texts")).unionByName(any_issue)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _char_name(c: pd.Series) -> pd.Series:
     return c.map(lambda x: unicodedata.name(x, f"U+{ord(x):04X}"))
 
