@@ -29,8 +29,8 @@ LEAST = 200
 K = 128
 #: Different windows of one anchor that a task indexes or streams at once.
 BLOCK = 500
-#: Windows per shard, about: 1 MB of text.
-SHARD = 4000
+#: Windows per shard, about: 300 KB of text.
+SHARD = 1000
 
 
 def anchors(text: str, k: int = K, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -236,7 +236,7 @@ def _between(kinds: DataFrame) -> DataFrame:
     # block i is indexed for every j >= i, block j streamed through every i <= j
     index = big.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).select("wid", "win", F.col("h").alias("s"), (F.col("block") + 1).alias("i"), (F.col("j") + 1).alias("j"), F.lit(True).alias("indexed"), (F.col("j") == F.col("block")).alias("streamed"))
     stream = big.where("block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select("wid", "win", F.col("h").alias("s"), (F.col("i") + 1).alias("i"), (F.col("block") + 1).alias("j"), F.lit(False).alias("indexed"), F.lit(True).alias("streamed"))
-    tasks = small.union(index).union(stream)
+    tasks = small.union(index).union(stream).repartition(min(4 * shards, 20_000), "s", "i", "j")
     return tasks.groupBy("s", "i", "j").applyInArrow(_shard, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
 
 
