@@ -110,11 +110,20 @@ def odd_quotes(c: Column) -> Column:
     return F.length(F.regexp_replace(c, '[^"]', "")) % 2 == 1
 
 
+def _let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` looks at it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def without_unpaired(c: Column) -> Column:
     """All brackets of a kind that does not pair up, and odd double quotes, go."""
+
+    def without(a: str, b: str) -> Callable[[Column], Column]:
+        return lambda t: F.when((t.contains(a) | t.contains(b)) & unpaired(t, a, b), F.translate(t, a + b, "")).otherwise(t)
+
     for left, right in BRACKETS:
-        c = F.when(c.contains(left) | c.contains(right), F.when(unpaired(c, left, right), F.translate(c, left + right, "")).otherwise(c)).otherwise(c)
-    return F.when(odd_quotes(c), F.replace(c, F.lit('"'), F.lit(""))).otherwise(c)
+        c = _let(c, without(left, right))
+    return _let(c, lambda t: F.when(odd_quotes(t), F.replace(t, F.lit('"'), F.lit(""))).otherwise(t))
 
 
 def tidied(c: Column) -> Column:

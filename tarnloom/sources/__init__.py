@@ -1 +1 @@
-"""Part of tarnloom; see the package docstring."""
+"""Reading and writing: separated text, Parquet, JSON, arrays, listings."""
