@@ -118,30 +118,35 @@ def radix_count(keys: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     ddl = "key binary, first_pos long, n long"
     parts = keys.where(F.col("key").isNotNull()).select("key", F.col("pos").alias("first_pos"), F.lit(1).cast("long").alias("n"))
     parts = cut(parts.mapInArrow(_combine, ddl), "partials")
-    length, levels, bucket = STEP, [], _prefix(STEP)
+    length, step, levels, any_stuck, before = STEP, STEP, [], False, None
     live = parts
     while True:
         sizes = live.groupBy(_prefix(length).alias("big")).agg(F.count("*").alias("n"), F.max(F.length("key")).alias("longest"))
         big = cut(sizes.where((F.col("n") > bucket_rows)), "oversized")
-        if big.isEmpty():
+        deep = F.col("longest") > length
+        buckets, rows, stuck = big.agg(F.count("*"), F.sum("n"), F.count_if(~deep)).first()
+        if not buckets:
             break
-        levels.append((length, big))
-        if big.where(F.col("longest") > length).isEmpty():
+        # where the last bytes split nothing (a long common prefix), more are taken
+        step = 2 * step if (buckets, rows) == before else STEP
+        before, any_stuck = (buckets, rows), any_stuck or stuck > 0
+        levels.append((length, length + step, big))
+        if stuck == buckets:
             break
-        live = live.join(big.where(F.col("longest") > length).select("big"), _prefix(length) == F.col("big"), "left_semi")
-        length += STEP
-    placed = parts
-    for i, (at, big) in enumerate(levels):
+        live = live.join(big.where(deep).select("big"), _prefix(length) == F.col("big"), "left_semi")
+        length += step
+    placed, bucket = parts, _prefix(STEP)
+    for i, (at, further, big) in enumerate(levels):
         mark = big.select(F.col("big").alias(f"p{i}"), F.ceil(F.col("n") / bucket_rows).alias(f"c{i}"), (F.col("longest") > at).alias(f"deep{i}"))
         placed = placed.join(mark, _prefix(at) == F.col(f"p{i}"), "left")
-        bucket = F.when(F.col(f"p{i}").isNotNull() & F.col(f"deep{i}"), _prefix(at + STEP)).otherwise(bucket)
+        bucket = F.when(F.col(f"p{i}").isNotNull() & F.col(f"deep{i}"), _prefix(further)).otherwise(bucket)
     chunk = F.lit(0).cast("long")
     for i in range(len(levels)):
-        stuck = F.col(f"p{i}").isNotNull() & (F.length("key") <= levels[i][0])
+        stuck = F.col(f"p{i}").isNotNull() & ~F.col(f"deep{i}")
         chunk = F.when(stuck, F.pmod(F.col("first_pos"), F.col(f"c{i}"))).otherwise(chunk)
     placed = placed.select("key", "first_pos", "n", bucket.alias("bucket"), chunk.alias("chunk"))
     counted = placed.groupBy("bucket", "chunk").applyInArrow(_count, ddl)
-    if not levels:
+    if not any_stuck:
         return counted
     return counted.groupBy("key").agg(F.min("first_pos").alias("first_pos"), F.sum("n").alias("n"))
 
