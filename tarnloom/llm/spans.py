@@ -62,10 +62,29 @@ def anchors(text: str, k: int = K, least: int = LEAST) -> tuple[np.ndarray, np.n
         n *= 2
     if window > n:
         reach = np.maximum(reach[: len(reach) - (window - n)], reach[window - n :])
-    at = np.flatnonzero(h == reach)
+    at = _thinned(h, np.flatnonzero(h == reach), window)
     return h[at].view(np.int64), at.astype(np.int32)
 
 
+def _thinned(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Of anchors with one hash in one text only so many that every window which has
+    that hash as its minimum still holds one: runs of one character would else make
+    every position an anchor."""
+    order = np.lexsort((at, h[at]))
+    pos, key = at[order], h[at][order]
+    close = (key[1:] == key[:-1]) & (np.diff(pos) <= window)
+    if not close.any():
+        return at
+    keep, last, n = [], None, len(pos)
+    for i in range(n):
+        fresh = i == 0 or key[i] != key[i - 1]
+        follows = i + 1 < n and key[i + 1] == key[i] and not fresh and pos[i + 1] - last <= window
+        if fresh or not follows:
+            keep.append(pos[i])
+            last = pos[i]
+    return np.sort(np.array(keep))
+
+
 class FMIndex:
     """A compressed full-text index of windows."""
 
@@ -216,10 +235,8 @@ def _windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cutout = F.substr(F.col("text"), F.col("lo") + 1, F.col("at") + LEAST - F.col("lo"))
     held = shared.withColumn("lo", lo).join(text, "doc").select("h", "doc", "lo", cutout.alias("win"))
     held = cut(held, "windows")
-    kinds = held.groupBy("h", "win").agg(F.min(F.struct("doc", "lo")).alias("first"))
-    # one text never has two anchors at one place, so (doc, lo, h) names a window
-    kinds = kinds.withColumn("wid", F.xxhash64("first.doc", "first.lo", "h", "win"))
-    kinds = cut(kinds.select("wid", "h", "win"), "kinds")
+    kinds = held.select("h", "win").distinct()
+    kinds = cut(kinds.select(F.monotonically_increasing_id().alias("wid"), "h", "win"), "kinds")
     placed = held.join(kinds, ["h", "win"]).select("wid", "doc", "lo", F.length("win").alias("width"))
     return copies, cut(placed, "placed"), kinds
 
@@ -248,7 +265,11 @@ def shared_pairs(docs: DataFrame) -> DataFrame:
     at = held.select("wid", "doc").distinct()
     other = cut(_between(kinds).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "between")
     x, y = at.select("wid", F.col("doc").alias("x")), at.select("wid", F.col("doc").alias("y"))
-    equal = x.join(y, "wid").select("x", "y")
+    # windows of the same documents give the same pairs: one of them is enough
+    sums = [F.sum(F.xxhash64(F.lit(k), "doc").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+    owners = at.groupBy("wid").agg(F.count("*").alias("n"), *sums).where("n > 1")
+    one = owners.groupBy("n", "s1", "s2").agg(F.min("wid").alias("wid")).select("wid")
+    equal = x.join(one, "wid").join(y, "wid").where("x < y").select("x", "y")
     near = other.join(x.withColumnRenamed("wid", "a"), "a").join(y.withColumnRenamed("wid", "b"), "b").select("x", "y")
     pairs = equal.union(near).where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     # every copy of a text shares what its first copy shares, and the whole with the others
