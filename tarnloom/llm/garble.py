@@ -60,11 +60,12 @@ def _natural(unit: str, native: set[str]) -> bool:
     return all(c.isalpha() and c in native for c in unit)
 
 
-def unit_table(alphabet: dict[str, int], native: set[str] = frozenset()) -> dict[str, dict[str, str]]:
+def unit_table(alphabet: dict[str, int], native: set[str] = frozenset(), joint: bool = False) -> dict[str, dict[str, str]]:
     """Per transformation, what each character of the alphabet turns into,
     mapped back.  ``|lower``: the garbled text was put in lower case later; of
     Cyrillic and Greek pages only with a sign in it, since their small letters
-    also stand for Latin ones."""
+    also stand for Latin ones.  Sequences that lower case does not change are
+    there only if ``joint``: they are no sign of lower case, but occur with it."""
     out: dict[str, dict[str, str]] = {}
     common = sorted(alphabet, key=lambda c: (-alphabet[c], c))
     for enc in UTF8_READ_AS:
@@ -76,10 +77,10 @@ def unit_table(alphabet: dict[str, int], native: set[str] = frozenset()) -> dict
             if not _natural(unit, native):
                 plain.setdefault(unit, x)
             small = unit.lower()
-            if small != unit and not (enc in OTHER_SCRIPT and small.isalpha()):
+            if (joint or small != unit) and not (enc in OTHER_SCRIPT and small.isalpha()):
                 low.setdefault(small, x)
         out[f"utf8>{enc}"] = plain
-        out[f"utf8>{enc}|lower"] = {u: x for u, x in low.items() if u not in plain}
+        out[f"utf8>{enc}|lower"] = {u: x for u, x in low.items() if joint or u not in plain}
     for true, read in ONE_BYTE:
         table = {}
         for x in common:
@@ -171,17 +172,20 @@ def _twin_candidates(tokens: DataFrame, tables: dict[str, dict[str, str]]) -> Da
     return tokens.select("token", "n").mapInArrow(propose, "token string, n long, how string, restored string")
 
 
-def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]], DataFrame, DataFrame]:
-    """What the twins of ``df[column]`` teach: the tables of the learned
-    transformations, the confirmed tokens ``(token, how)`` of one-byte ones, and
-    all distinct tokens with a non-ASCII character ``(token, n)``.
+def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]], DataFrame, DataFrame]:
+    """What the twins of ``df[column]`` teach: the tables by which the learned
+    transformations are told, those by which they are undone (with natural letters
+    too), the confirmed tokens ``(token, how)`` of one-byte ones, and all distinct
+    tokens with a non-ASCII character ``(token, n)``.
 
     The alphabet and the list of transformations are bounded by Unicode and come
     to the driver; tokens stay distributed."""
     odd = df.where(F.col(column).rlike(NOT_ASCII)).select(F.col(column).alias("text"))
     chars = odd.select(F.explode(F.regexp_extract_all("text", F.lit(NOT_ASCII), F.lit(0))).alias("c")).groupBy("c").count()
     tokens = cut(odd.select(F.explode(_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n")), "tokens")
-    tables = unit_table({r["c"]: r["count"] for r in chars.collect()}, _native_letters(tokens))
+    alphabet = {r["c"]: r["count"] for r in chars.collect()}
+    native = _native_letters(tokens)
+    tables = unit_table(alphabet, native)
     maybe = cut(_twin_candidates(tokens, tables), "maybe")
     key = _skeleton(F.col("token"))
     # a clean twin has the same skeleton and is what the token is restored to; it is
@@ -193,19 +197,34 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     sure = twins.where(F.col("how").startswith("utf8>") | (F.col("clean_n") >= TIMES_COMMON * F.col("n")))
     sure = cut(sure.select("token", "how", F.length("skeleton").alias("width")), "twins")
     votes = sure.where(F.col("width") >= 2).groupBy("how").agg(F.count("*").alias("n")).collect()
-    known = {r["how"]: tables[r["how"]] for r in votes if r["n"] >= LEAST_TWINS}
+    names = {r["how"] for r in votes if r["n"] >= LEAST_TWINS}
+    known = {how: t for how, t in unit_table(alphabet, native, joint=True).items() if how in names}
     one_byte = [h for h in known if not many(h)]
     quoted = maybe.where(F.col("how").isin(one_byte) & F.col("restored").rlike(r"^[“‘«„][0-9A-Za-z]+[”’»“]$") & F.col("token").rlike(r"^\p{L}.*\p{L}$"))
     dash = maybe.where(F.col("how").isin(one_byte) & F.col("restored").isin("–", "—") & F.col("token").rlike(r"^\p{L}$"))
     confirmed = sure.where(F.col("how").isin(one_byte)).select("token", "how").union(quoted.select("token", "how")).union(dash.select("token", "how")).distinct()
-    return known, confirmed, tokens
+    return known, {how: t for how, t in unit_table(alphabet, joint=True).items() if how in names}, confirmed, tokens
 
 
-def _apply(known: dict[str, dict[str, str]]):
+def _apply(known: dict[str, dict[str, str]], whole: dict[str, dict[str, str]]):
+    """Restores texts round by round: the transformation of which most is seen is
+    undone, until nothing more is seen."""
+    order = [f"utf8>{e}{low}" for low in ("", "|lower") for e in UTF8_READ_AS if f"utf8>{e}{low}" in known]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(*(t for how, t in sorted(known.items(), key=lambda x: x[0].endswith("|lower")) if many(how)))
+        any_of = Decoder(*(known[how] for how in order))
+        see, undo = [Decoder(known[how]) for how in order], [Decoder(whole[how]) for how in order]
+
+        def restored(text: str) -> str:
+            for _ in range(6):
+                if not any_of.once(text)[1]:
+                    break
+                hits = [d.once(text)[1] for d in see]
+                text = undo[hits.index(max(hits))].once(text)[0]
+            return text
+
         for b in batches:
-            back = [decoder.fully(t) for t in b["text"].to_pylist()]
+            back = [restored(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["id"], b["text"], pa.array(back, pa.string())], names=["id", "text", "restored"])
 
     return run
@@ -223,9 +242,9 @@ def repair(df: DataFrame, key: str = "pos", column: str = "text") -> DataFrame:
     else null.  Null and ASCII texts are never garbled; ``key`` must be unique."""
     src = df.select(F.col(key).alias("id"), F.col(column).alias("text"))
     odd = cut(src.where(F.col("text").rlike(NOT_ASCII) & F.col("id").isNotNull()), "odd")
-    known, confirmed, tokens = learn(odd)
+    known, whole, confirmed, tokens = learn(odd)
     id_type = odd.schema["id"].dataType.simpleString()
-    decoded = cut(odd.mapInArrow(_apply(known), f"id {id_type}, text string, restored string"), "decoded")
+    decoded = cut(odd.mapInArrow(_apply(known, whole), f"id {id_type}, text string, restored string"), "decoded")
     singles = {h: t for h, t in known.items() if not many(h)}
     out = decoded
     if singles:
