@@ -213,14 +213,14 @@ def output_size(d: DataFrame, least: int = 500) -> DataFrame:
     "f19_coordinate_range", "bbox",
     sql="""WITH c AS (SELECT vid, unnest([x1::DOUBLE / frame_width, x2::DOUBLE / frame_width, y1::DOUBLE / frame_height, y2::DOUBLE / frame_height]) AS v
         FROM bbox WHERE frame_width > 0 AND frame_height > 0)
-      SELECT vid, round(min(v), 6) AS lo, round(max(v), 6) AS hi FROM c WHERE v IS NOT NULL GROUP BY vid HAVING min(v) < -0.01 OR max(v) > 1.01""",
+      SELECT vid, round(min(v), 9) AS lo, round(max(v), 9) AS hi FROM c WHERE v IS NOT NULL GROUP BY vid HAVING min(v) < -0.01 OR max(v) > 1.01""",
 )
 def coordinate_range(b: DataFrame, lo: float = -0.01, hi: float = 1.01) -> DataFrame:
     """Clips with a box coordinate, as a share of the frame, outside the limits."""
     ok = b.where((F.col("frame_width") > 0) & (F.col("frame_height") > 0))
     parts = F.array_compact(F.array(F.col("x1") / F.col("frame_width"), F.col("x2") / F.col("frame_width"), F.col("y1") / F.col("frame_height"), F.col("y2") / F.col("frame_height")))
     per = ok.select("vid", parts.alias("c")).groupBy("vid").agg(F.min(F.array_min("c")).alias("lo"), F.max(F.array_max("c")).alias("hi"))
-    return per.where((F.col("lo") < lo) | (F.col("hi") > hi)).select("vid", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+    return per.where((F.col("lo") < lo) | (F.col("hi") > hi)).select("vid", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 
 @query(
@@ -266,7 +266,7 @@ def fail_rate_alerts(b: DataFrame, warn: float = 0.05, critical: float = 0.2) ->
 @query(
     "f22_clip_report", "lineitem",
     sql=" UNION ALL ".join(
-        f"""SELECT l_orderkey, l_linenumber, '{c}' AS tier, round({c} / {k}, 6) AS ratio, {c} / {k} > 2 AS loud FROM lineitem WHERE {c} > 1.1 * {k}"""
+        f"""SELECT l_orderkey, l_linenumber, '{c}' AS tier, round({c} / {k}, 8) AS ratio, {c} / {k} > 2 AS loud FROM lineitem WHERE {c} > 1.1 * {k}"""
         for c, k in (("l_quantity", 20.0), ("l_extendedprice", 40000.0), ("l_tax", 0.05))
     ),
 )
@@ -277,4 +277,4 @@ def clip_report(t: DataFrame, limits: dict[str, float] | None = None) -> DataFra
     limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("tier")]
     over = long.withColumn("limit", limit).where(F.col("value") > 1.1 * F.col("limit"))
     ratio = F.col("value") / F.col("limit")
-    return over.select("l_orderkey", "l_linenumber", "tier", F.round(ratio, 6).alias("ratio"), (ratio > 2).alias("loud"))
+    return over.select("l_orderkey", "l_linenumber", "tier", F.round(ratio, 8).alias("ratio"), (ratio > 2).alias("loud"))

@@ -85,12 +85,12 @@ def stems(jobs: DataFrame) -> DataFrame:
 @query(
     "p09_padded_boxes", "bbox",
     sql="""WITH b AS (SELECT vid, x1::DOUBLE / frame_width AS a, x2::DOUBLE / frame_width AS b FROM bbox WHERE frame_width > 0 AND x1 IS NOT NULL AND x2 IS NOT NULL)
-      SELECT vid, round(greatest(a - (b - a) * 0.03, 0.0), 8) AS left_edge, round(least(b + (b - a) * 0.03, 1.0), 8) AS right_edge FROM b""",
+      SELECT vid, round(greatest(a - (b - a) * 0.03, 0.0), 11) AS left_edge, round(least(b + (b - a) * 0.03, 1.0), 11) AS right_edge FROM b""",
 )
 def padded_boxes(b: DataFrame) -> DataFrame:
     ok = b.where((F.col("frame_width") > 0) & F.col("x1").isNotNull() & F.col("x2").isNotNull())
     lo, hi = S.padded_box(F.col("x1") / F.col("frame_width"), F.col("x2") / F.col("frame_width"))
-    return ok.select("vid", F.round(lo, 8).alias("left_edge"), F.round(hi, 8).alias("right_edge"))
+    return ok.select("vid", F.round(lo, 11).alias("left_edge"), F.round(hi, 11).alias("right_edge"))
 
 
 @query(

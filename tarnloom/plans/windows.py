@@ -65,9 +65,9 @@ def deorphaned(g: DataFrame) -> DataFrame:
 _EV = "PARTITION BY user_id ORDER BY ts, event_id"
 
 
-@query("w07_moving_average", "events", sql=f"SELECT event_id, round(avg(value) OVER ({_EV} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 6) AS mean FROM events")
+@query("w07_moving_average", "events", sql=f"SELECT event_id, round(avg(value) OVER ({_EV} ROWS BETWEEN 25 PRECEDING AND 25 FOLLOWING), 9) AS mean FROM events")
 def moving_average(e: DataFrame) -> DataFrame:
-    return e.select("event_id", F.round(S.moving_average("value", ["user_id"], ["ts", "event_id"], 50), 6).alias("mean"))
+    return e.select("event_id", F.round(S.moving_average("value", ["user_id"], ["ts", "event_id"], 50), 9).alias("mean"))
 
 
 @query("w08_trailing_mean", "events", sql=f"SELECT event_id, round(avg(value) OVER ({_EV} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS mean FROM events")
