@@ -15,9 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid, recording
+from tarnloom.operators import graph
 from tarnloom.plans.lineage import cut
 
-MAX_ROUNDS = 60
 #: Largest remainder, in rows, that is filled by subset sums; what lies above
 #: is filled with the largest sizes first.  Bounds a bitset to 128 KB.
 BITSET_ROWS = 1 << 20
@@ -25,46 +25,8 @@ BITSET_ROWS = 1 << 20
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, parent)`` for every node of ``edges(u, v)``: its component's
-    smallest node.
-
-    A round hooks each root to its smallest neighbouring root, shortcuts the
-    hooks until they point at roots, and rewrites the edges between roots; edges
-    inside one tree vanish, so the rounds shrink quickly."""
-    live = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    live = cut(live, "edges")
-    parents = None
-    for _ in range(MAX_ROUNDS):
-        if live.isEmpty():
-            break
-        hooks = live.groupBy("u").agg(F.min("v").alias("p"))
-        while True:  # shortcut: point at the parent's parent until nothing moves
-            hooks = cut(hooks, "hooks")
-            up = hooks.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-            jumped = hooks.join(up, "p", "left")
-            if jumped.where(F.col("pp").isNotNull()).isEmpty():
-                break
-            hooks = jumped.select("u", F.coalesce("pp", "p").alias("p"))
-        if parents is None:
-            parents = hooks.select(F.col("u").alias("node"), F.col("p").alias("parent"))
-        else:
-            moved = parents.join(hooks, parents.parent == hooks.u, "left").select("node", F.coalesce("p", "parent").alias("parent"))
-            fresh = hooks.join(parents, hooks.u == parents.node, "left_anti").select(F.col("u").alias("node"), F.col("p").alias("parent"))
-            parents = cut(moved.unionByName(fresh), "parents")
-        hop = lambda side: hooks.select(F.col("u").alias(side), F.col("p").alias(f"{side}_p"))
-        live = (
-            live.join(hop("u"), "u", "left").join(hop("v"), "v", "left")
-            .select(F.coalesce("u_p", "u").alias("x"), F.coalesce("v_p", "v").alias("y"))
-            .where(F.col("x") != F.col("y"))
-            .select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
-            .distinct()
-        )
-        live = cut(live, "edges")
-    else:
-        raise RuntimeError(f"trees still merge after {MAX_ROUNDS} rounds")
-    if parents is None:
-        parents = live.select(F.col("u").alias("node"), F.col("v").alias("parent"))
-    roots = parents.select(F.col("parent").alias("node"), "parent").distinct()
-    return parents.unionByName(roots)
+    smallest node, by parallel hooking and shortcutting over a parent table."""
+    return graph.components(edges, "u", "v").withColumnRenamed("component", "parent")
 
 
 def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
