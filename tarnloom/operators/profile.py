@@ -21,11 +21,11 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     last bin is closed.  One value only: all in bin 0.  Null and NaN are left out."""
     x = F.col(column).cast("double")
     ok = df.where(x.isNotNull() & ~F.isnan(x)).select(x.alias("x"))
-    ends = ok.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ends = ok.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    ok = ok.select("x", ends["lo"].alias("lo"), ends["hi"].alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0)
-    both = ok.crossJoin(F.broadcast(ends))  # one row of two numbers
-    return both.select(place.cast("int").alias("bin"), (F.col("lo") + place * width).alias("edge")).groupBy("bin").agg(F.min("edge").alias("lo"), F.count("*").alias("n"))
+    return ok.select(place.cast("int").alias("bin"), (F.col("lo") + place * width).alias("edge")).groupBy("bin").agg(F.min("edge").alias("lo"), F.count("*").alias("n"))
 
 
 def duplicate_summary(df: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from tarnloom.functions import scalars as S, text as T
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
 from tarnloom.operators import metrics as M, profile as P
-from tarnloom.plans.filters import SECONDS_SQL, WPS_SQL
+from tarnloom.plans.filters import WPS_SQL
 from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, WS_SQL, norm_sql, query, vid_sql
 
 
@@ -175,9 +175,10 @@ def integer_histogram(m: DataFrame) -> DataFrame:
 )
 def shared_histogram(b: DataFrame, bins: int = 59) -> DataFrame:
     """Two series over the same edges, up to the greatest value plus 50."""
-    w = b.agg(((F.greatest(F.max("frame_width"), F.max("frame_height")) + 50).cast("double") / bins).alias("w"))
+    w = b.agg((F.greatest(F.max("frame_width"), F.max("frame_height")) + 50).cast("double") / bins).scalar()
     long = b.select(F.inline(F.array(F.struct(F.lit("width").alias("series"), F.col("frame_width").alias("v")), F.struct(F.lit("height").alias("series"), F.col("frame_height").alias("v"))))).where("v IS NOT NULL")
-    return long.crossJoin(F.broadcast(w)).groupBy("series", F.least(F.floor(F.col("v") / F.col("w")), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    place = F.least(F.floor(F.col("v") / w), F.lit(bins - 1)).cast("int")
+    return long.select("series", place.alias("bin")).groupBy("series", "bin").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -214,7 +215,7 @@ def weak_fingerprints(m: DataFrame) -> DataFrame:
     ok = m.where(F.col("duration_sec").isNotNull() & F.col("word_count").isNotNull() & F.col("source").isNotNull())
     g = ok.groupBy("duration_sec", "word_count", source().alias("s")).agg(F.count("*").alias("n")).where("n > 1")
     s = g.agg(F.count("*").alias("keys"), F.sum("n").alias("rows_in_groups"))
-    return s.crossJoin(F.broadcast(m.agg(F.count("*").alias("all")))).select("keys", "rows_in_groups", F.round(100.0 * F.col("rows_in_groups") / F.col("all"), 4).alias("percent"))
+    return s.select("keys", "rows_in_groups", F.round(100.0 * F.col("rows_in_groups") / m.agg(F.count("*")).scalar(), 4).alias("percent"))
 
 
 @query("a21_texts_in_both_sources", "manifest", sql=f"SELECT text, list_sort(list(DISTINCT {SOURCE_SQL})) AS sources FROM manifest WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY text HAVING count(DISTINCT {SOURCE_SQL}) > 1")
@@ -309,12 +310,13 @@ def waterfall(m: DataFrame, most: float = 5.0) -> DataFrame:
 def balance(m: DataFrame) -> DataFrame:
     """Mean absolute difference of the source shares from those of train; a source
     that a split lacks counts as 0."""
-    c = m.where(F.col("source").isNotNull()).groupBy(split().alias("split"), source().alias("source")).agg(F.count("*").alias("n")).where("split IS NOT NULL")
-    grid = c.select("split").distinct().crossJoin(F.broadcast(c.select("source").distinct()))  # names only
-    full = grid.join(c, ["split", "source"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    ratio = full.withColumn("ratio", F.col("n") / F.sum("n").over(W.partitionBy("split")))
-    train = ratio.where("split = 'train'").select("source", F.col("ratio").alias("base"))
-    return ratio.where("split <> 'train'").join(train, "source").groupBy("split").agg(F.round(F.avg(F.abs(F.col("ratio") - F.col("base"))), 6).alias("delta"))
+    names = ["train", "val", "test"]
+    c = m.where(F.col("source").isNotNull()).select(split().alias("split"), source().alias("source")).groupBy("source").pivot("split", names).agg(F.count(F.lit(1))).na.fill(0)
+    total = c.agg(F.struct(*[F.sum(s).alias(s) for s in names])).scalar()
+    c = c.select(*names, total.alias("total"))
+    share = lambda s: F.col(s) / F.nullif(F.col(f"total.{s}"), F.lit(0))
+    wide = c.agg(*[F.round(F.avg(F.abs(share(s) - share("train"))), 6).alias(s) for s in names[1:]])
+    return wide.unpivot([], names[1:], "split", "delta").where("delta IS NOT NULL")
 
 
 @query("a30_fix_counts", "manifest")

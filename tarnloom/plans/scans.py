@@ -5,9 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
+from tarnloom.functions.ids import canonical_split, canonical_vid
 from tarnloom.plans.lineage import shared_dir, table
-from tarnloom.plans.registry import ORACLE, QUERIES, SOURCE_SQL, SPLIT_SQL, query, vid_sql
+from tarnloom.plans.registry import ORACLE, QUERIES, SPLIT_SQL, query, vid_sql
 from tarnloom.sources import readers as R, schema, writers as K
 
 
@@ -242,7 +242,7 @@ def array_functions(e: DataFrame) -> DataFrame:
 def padded(m: DataFrame) -> DataFrame:
     """Ragged arrays padded to the longest, with a mask."""
     w = m.where(F.col("text").isNotNull()).select("pos", F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != "").alias("w"))
-    both = w.crossJoin(F.broadcast(w.agg(F.max(F.size("w")).alias("n"))))  # one number
+    both = w.withColumn("n", w.agg(F.max(F.size("w"))).scalar())
     mask = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i <= F.size("w"))
     return both.select("pos", F.concat("w", F.array_repeat(F.lit("<pad>"), F.col("n") - F.size("w"))).alias("padded"), mask.alias("mask"))
 

@@ -12,12 +12,6 @@ from tarnloom.plans.scans import _scratch, with_session
 from tarnloom.streaming import incremental as I
 
 
-def _arrivals(spark: SparkSession, df: DataFrame, by: str, name: str) -> tuple[str, str]:
-    path = _scratch(spark, name)
-    df.repartitionByRange(6, by).write.parquet(path)
-    return path, df.schema.simpleString().removeprefix("struct<").removesuffix(">")
-
-
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{n} {t}" for n, t in df.dtypes)
 

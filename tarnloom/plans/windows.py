@@ -104,8 +104,8 @@ def early_stop(e: DataFrame, most: int = 20) -> DataFrame:
     sql=f"SELECT pos, round(sum(duration_sec) OVER (PARTITION BY {SOURCE_SQL}, {SPLIT_SQL} ORDER BY duration_sec, pos ROWS UNBOUNDED PRECEDING) / 3600, 9) AS hours FROM manifest WHERE duration_sec IS NOT NULL",
 )
 def cumulative_hours(m: DataFrame) -> DataFrame:
-    w = W.partitionBy(canonical_source(F.col("source")), canonical_split(F.col("split"))).orderBy("duration_sec", "pos").rowsBetween(W.unboundedPreceding, 0)
-    return m.where("duration_sec IS NOT NULL").select("pos", F.round(F.sum("duration_sec").over(w) / 3600, 9).alias("hours"))
+    d = m.where("duration_sec IS NOT NULL").select("pos", "duration_sec", canonical_source(F.col("source")).alias("source"), canonical_split(F.col("split")).alias("split"))
+    return R.running_sum(d, ["source", "split"], ["duration_sec", "pos"], "duration_sec", "sum").select("pos", F.round(F.col("sum") / 3600, 9).alias("hours"))
 
 
 @query(
@@ -174,8 +174,7 @@ def curriculum(m: DataFrame, easy: float = 4.0, size: int = 32) -> DataFrame:
     """Easy clips first, batches within either part."""
     d = m.where("duration_sec IS NOT NULL").select("pos", "duration_sec", (F.col("duration_sec") > easy).alias("hard"))
     ranked = R.ranked(d, ["hard", "duration_sec", "pos"], "rank")
-    n = d.where("NOT hard").agg(F.count("*").alias("easy_rows"))
-    r = ranked.crossJoin(F.broadcast(n))  # one number
+    r = ranked.withColumn("easy_rows", d.where("NOT hard").agg(F.count("*")).scalar())
     first = F.ceil(F.col("easy_rows") / size)
     batch = F.when(F.col("hard"), first + F.floor((F.col("rank") - F.col("easy_rows")) / size)).otherwise(F.floor(F.col("rank") / size))
     return r.select("pos", "hard", batch.alias("batch"))
@@ -366,7 +365,7 @@ def stratified(m: DataFrame) -> DataFrame:
 def conserved(m: DataFrame) -> DataFrame:
     """No row lost or doubled by the split."""
     after = stratified(m).agg(F.count("*").alias("after"), F.countDistinct("pos").alias("d"))
-    both = m.agg(F.count("*").alias("before")).crossJoin(F.broadcast(after))
+    both = after.withColumn("before", m.agg(F.count("*")).scalar())
     return both.select("before", "after", ((F.col("before") == F.col("after")) & (F.col("d") == F.col("after"))).alias("conserved"))
 
 

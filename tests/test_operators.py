@@ -124,11 +124,22 @@ def test_fuzzy_removal_order(spark):
 
 def test_stratified(spark):
     rows = [(i, "a") for i in range(30)] + [(100 + i, "b") for i in range(50)] + [(200, None)]
-    out = R.stratified(frame(spark, rows, "pos long, source string"), "pos", F.col("source"))
+    out = R.stratified(frame(spark, rows, "pos long, source string"), "pos", F.col("source"), per_block=13)
     n = {(r.source, r.new_split): r["count"] for r in out.groupBy("source", "new_split").count().collect()}
     assert n == {("a", "train"): 26, ("a", "val"): 2, ("a", "test"): 2, ("b", "train"): 46, ("b", "val"): 2, ("b", "test"): 2, (None, "train"): 1}
 
 
+@pytest.mark.parametrize("per_block", [1000, 3])
+def test_running_sum(spark, per_block):
+    rows = [(i, ["a", "b", None][i % 3 % 2 if i < 30 else 2], float(i * 7 % 5)) for i in range(40)]
+    df = frame(spark, rows, "pos long, k string, d double")
+    want, at = {}, {}
+    for p, k, d in sorted(rows, key=lambda r: (r[2], r[0])):
+        at[k] = at.get(k, 0) + d
+        want[p] = at[k]
+    assert {r.pos: r.s for r in R.running_sum(df, ["k"], ["d", "pos"], "d", "s", per_block).collect()} == want
+
+
 def test_ranked_and_batches(spark):
     rows = [(i, float(i * 7 % 13)) for i in range(40)]
     df = frame(spark, rows, "pos long, d double")
