@@ -1,7 +1,6 @@
 """Problems 1 and 7: components, dealing to splits, groups of pairs."""
 
 import random
-from itertools import combinations_with_replacement
 
 import pytest
 from hypothesis import given, settings, strategies as st
