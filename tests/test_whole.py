@@ -4,6 +4,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tarnloom.plans import registry
+from tarnloom.plans.texts import issue_summary
+
+from .test_functions import _model_unpaired
 
 registry.load()
 
@@ -19,3 +22,15 @@ def test_npz_of_every_vector(spark, tmp_path):
 def test_npz_of_the_test_table(spark, sf_dir):
     want = sorted((r.vec_id, len(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect())
     assert sorted(tuple(r) for r in registry.QUERIES["s13_npz"](spark, sf_dir).collect()) == want
+
+
+def test_issue_summary_counts_unpaired_signs(spark):
+    texts = ["(a", "b]", 'say "hi', "{c} (d) ok", "a  b", "a  (b", None, "plain", "((x))"]
+    rows = [(i, t, ["train", "val", None][i % 3]) for i, t in enumerate(texts)]
+    m = spark.createDataFrame(rows, "pos long, text string, split string")
+    want = {}
+    for _, t, s in rows:
+        found = [] if t is None else ["15_unpaired"] * (_model_unpaired(t) != t) + ["03_multiple_spaces"] * ("  " in t)
+        for issue in found + ["any"] * bool(found):
+            want[issue, s] = want.get((issue, s), 0) + 1
+    assert {(r.issue, r.split): r.texts for r in issue_summary(m).collect()} == want
