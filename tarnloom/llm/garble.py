@@ -37,6 +37,8 @@ ONE_BYTE = [("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"), (
 LEAST_TWINS = 2
 #: A clean twin of a one-byte transformation is at least so many times as frequent.
 TIMES_COMMON = 3
+#: Letters of a clean twin of a token without ASCII characters.
+LEAST_LETTERS = 4
 LOST = "�"
 
 NOT_ASCII = r"[^\x00-\x7F]"
@@ -192,10 +194,13 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     # itself no garble that a longer sequence explains
     decodable = maybe.where(F.col("how").startswith("utf8>")).select("token").distinct()
     clean = tokens.join(decodable, "token", "left_anti").select(F.col("token").alias("restored"), F.col("n").alias("clean_n"), key.alias("skeleton"))
-    ascii_end = F.length("skeleton") >= 1
-    twins = maybe.withColumn("skeleton", key).where(ascii_end).join(clean, ["skeleton", "restored"])
+    # a word without an ASCII letter (Cyrillic, Greek) has an empty skeleton: there the
+    # restored form is evidence enough if it has several letters
+    word = F.length("skeleton") == 0
+    enough = ~word | F.col("restored").rlike(rf"^\p{{L}}{{{LEAST_LETTERS},}}$")
+    twins = maybe.withColumn("skeleton", key).where(enough).join(clean, ["skeleton", "restored"])
     sure = twins.where(F.col("how").startswith("utf8>") | (F.col("clean_n") >= TIMES_COMMON * F.col("n")))
-    sure = cut(sure.select("token", "how", F.length("skeleton").alias("width")), "twins")
+    sure = cut(sure.select("token", "how", F.when(word, F.length("restored")).otherwise(F.length("skeleton")).alias("width")), "twins")
     votes = sure.where(F.col("width") >= 2).groupBy("how").agg(F.count("*").alias("n")).collect()
     names = {r["how"] for r in votes if r["n"] >= LEAST_TWINS}
     known = {how: t for how, t in unit_table(alphabet, native, joint=True).items() if how in names}
