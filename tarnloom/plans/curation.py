@@ -46,7 +46,7 @@ def curated(m: DataFrame) -> DataFrame:
     rows = fuzzy_rows(slow)
     gone = fuzzy.within_removals(fuzzy.scored_pairs(rows, across=False)).select("pos")
     rest = rows.join(gone, "pos", "left_anti")
-    gone = gone.union(fuzzy.across_removals(fuzzy.scored_pairs(rest, across=True)))
+    gone = gone.union(fuzzy.across_removals(fuzzy.scored_pairs(rest, across=True, one_sided=False)))
     from tarnloom.plans.texts import fix_pipeline
 
     kept = slow.join(gone, "pos", "left_anti")

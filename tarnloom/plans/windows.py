@@ -376,5 +376,5 @@ def removal_priority(m: DataFrame) -> DataFrame:
     rows = fuzzy_rows(m)
     within = fuzzy.within_removals(fuzzy.scored_pairs(rows, across=False)).select("pos", F.lit("within").alias("reason"))
     kept = rows.join(within, "pos", "left_anti")
-    across = fuzzy.across_removals(fuzzy.scored_pairs(kept, across=True)).select("pos", F.lit("across").alias("reason"))
+    across = fuzzy.across_removals(fuzzy.scored_pairs(kept, across=True, one_sided=False)).select("pos", F.lit("across").alias("reason"))
     return within.union(across).join(rows.select("pos", F.col("side").alias("split")), "pos").select("pos", "split", "reason")

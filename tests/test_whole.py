@@ -4,7 +4,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from tarnloom.plans import registry
+from tarnloom.plans.curation import curated
 from tarnloom.plans.texts import issue_summary
+from tarnloom.plans.windows import removal_priority
 
 from .test_functions import _model_unpaired
 
@@ -34,3 +36,11 @@ def test_issue_summary_counts_unpaired_signs(spark):
         for issue in found + ["any"] * bool(found):
             want[issue, s] = want.get((issue, s), 0) + 1
     assert {(r.issue, r.split): r.texts for r in issue_summary(m).collect()} == want
+
+
+def test_curation_compares_rows_with_one_word_fewer(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, "v1", text, 60.0, 10, "f", "s", "train"), (2, "v2", text, 60.0, 9, "f", "s", "val"), (3, "v3", "quite another caption", 60.0, 3, "f", "s", "val")]
+    m = spark.createDataFrame(rows, "pos long, vid string, text string, duration_sec double, word_count int, file_path string, source string, split string")
+    assert sorted(r.pos for r in curated(m).collect()) == [1, 3]
+    assert [(r.pos, r.reason) for r in removal_priority(m).collect()] == [(2, "across")]
