@@ -65,7 +65,7 @@ def split_files(spark: SparkSession, d: str) -> DataFrame:
 @with_session("s06_csv_boxes", sql="SELECT vid, x1, y1, x2, y2, failed FROM bbox WHERE vid = trim(vid)")
 def csv_boxes(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "bbox-csv")
-    K.write_separated(table(spark, d, "bbox").where(F.col("vid") == F.trim("vid")), path, sep=",", order=["vid"])
+    K.write_separated(table(spark, d, "bbox"), path, sep=",", order=["vid"])
     df = R.read_separated(spark, path, sep=",", ddl="vid string, x1 int, y1 int, x2 int, y2 int, failed boolean")
     return df.select("vid", "x1", "y1", "x2", "y2", "failed")
 
@@ -159,7 +159,7 @@ def npz(spark: SparkSession, d: str) -> DataFrame:
 @with_session("k02_sorted_sink", sql="SELECT vid, detection_rate FROM bbox WHERE vid = trim(vid)")
 def sorted_sink(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark, "sorted")
-    K.write_separated(table(spark, d, "bbox").where(F.col("vid") == F.trim("vid")), path, ["vid", "detection_rate"], order=["vid", "detection_rate"])
+    K.write_separated(table(spark, d, "bbox"), path, ["vid", "detection_rate"], order=["vid", "detection_rate"])
     return R.read_separated(spark, path, ddl="vid string, detection_rate double")
 
 

@@ -44,3 +44,13 @@ def test_curation_compares_rows_with_one_word_fewer(spark):
     m = spark.createDataFrame(rows, "pos long, vid string, text string, duration_sec double, word_count int, file_path string, source string, split string")
     assert sorted(r.pos for r in curated(m).collect()) == [1, 3]
     assert [(r.pos, r.reason) for r in removal_priority(m).collect()] == [(2, "across")]
+
+
+def test_sinks_keep_vids_with_blanks_and_null(spark, tmp_path):
+    vids = ["a", " b", "c ", None, " \td", 'e "f"', "g,h"]
+    cols = {"vid": pa.array(vids, pa.string()), "detection_rate": pa.array([i / 8 for i in range(len(vids))])}
+    cols |= {c: pa.array(range(len(vids)), pa.int32()) for c in ("x1", "y1", "x2", "y2")} | {"failed": pa.array([False] * len(vids))}
+    pq.write_table(pa.table(cols), tmp_path / "bbox.parquet")
+    for name in ("s06_csv_boxes", "k02_sorted_sink"):
+        got = [r.vid for r in registry.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert len(got) == len(vids) and set(got) == set(vids), name
