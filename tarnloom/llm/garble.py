@@ -128,11 +128,12 @@ class Decoder:
         out.append(text[at:])
         return "".join(out), hits
 
-    def fully(self, text: str, rounds: int = 3) -> str:
-        for _ in range(rounds):
+    def fully(self, text: str) -> str:
+        """Undone until nothing is seen; for units longer than what replaces them, so
+        that the text shrinks each time."""
+        hits = 1
+        while hits:
             text, hits = self.once(text)
-            if not hits:
-                break
         return text
 
 
@@ -221,9 +222,7 @@ def _apply(known: dict[str, dict[str, str]], whole: dict[str, dict[str, str]]):
         see, undo = [Decoder(known[how]) for how in order], [Decoder(whole[how]) for how in order]
 
         def restored(text: str) -> str:
-            for _ in range(6):
-                if not any_of.once(text)[1]:
-                    break
+            while any_of.once(text)[1]:  # each round replaces units by less: it ends
                 hits = [d.once(text)[1] for d in see]
                 text = undo[hits.index(max(hits))].once(text)[0]
             return text
