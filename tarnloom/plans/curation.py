@@ -43,10 +43,7 @@ def curated(m: DataFrame) -> DataFrame:
     anew, stratified by source."""
     w = S.wps(F.col("word_count"), F.col("duration_sec"))
     slow = m.where(~F.coalesce((w > 5.0) & ~F.isnan(w), F.lit(False)))
-    rows = fuzzy_rows(slow)
-    gone = fuzzy.within_removals(fuzzy.scored_pairs(rows, across=False)).select("pos")
-    rest = rows.join(gone, "pos", "left_anti")
-    gone = gone.union(fuzzy.across_removals(fuzzy.scored_pairs(rest, across=True, one_sided=False)))
+    gone = fuzzy.removals(fuzzy_rows(slow)).select("pos")
     from tarnloom.plans.texts import fix_pipeline
 
     kept = slow.join(gone, "pos", "left_anti")

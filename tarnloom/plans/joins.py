@@ -89,9 +89,17 @@ def fuzzy_rows(m: DataFrame) -> DataFrame:
 
 @query("j06_fuzzy_within", "manifest")
 def fuzzy_within(m: DataFrame) -> DataFrame:
+    """``(side_a, side_b, rid_a, rid_b, score)``: similar classes of a split, each named
+    by its smallest position; ``j06_members`` has their rows."""
     return fuzzy.scored_pairs(fuzzy_rows(m), across=False).withColumn("score", F.round("score", 4))
 
 
+@query("j06_members", "manifest")
+def fuzzy_members(m: DataFrame) -> DataFrame:
+    """``(pos, rid)``: the class of every row in ``j06`` and ``j07``."""
+    return fuzzy.members(fuzzy_rows(m))
+
+
 @query("j07_fuzzy_across", "manifest")
 def fuzzy_across(m: DataFrame) -> DataFrame:
     return fuzzy.scored_pairs(fuzzy_rows(m), across=True).withColumn("score", F.round("score", 4))

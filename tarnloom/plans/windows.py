@@ -374,7 +374,4 @@ def removal_priority(m: DataFrame) -> DataFrame:
     """``(pos, split, reason)``: rows removed as a fuzzy copy within their split, or
     as a copy of a row of a split before theirs (train, val, test)."""
     rows = fuzzy_rows(m)
-    within = fuzzy.within_removals(fuzzy.scored_pairs(rows, across=False)).select("pos", F.lit("within").alias("reason"))
-    kept = rows.join(within, "pos", "left_anti")
-    across = fuzzy.across_removals(fuzzy.scored_pairs(kept, across=True, one_sided=False)).select("pos", F.lit("across").alias("reason"))
-    return within.union(across).join(rows.select("pos", F.col("side").alias("split")), "pos").select("pos", "split", "reason")
+    return fuzzy.removals(rows).join(rows.select("pos", F.col("side").alias("split")), "pos").select("pos", "split", "reason")

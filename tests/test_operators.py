@@ -85,6 +85,18 @@ def test_patience(spark):
     assert [r.waited for r in got] == [0, 0, 1, 2, 0] and [r.improved for r in got] == [True, True, False, False, True]
 
 
+def expanded(pairs, members, across):
+    """Pairs of rows from pairs of classes and the rows of each."""
+    rows = {}
+    for r in members:
+        rows.setdefault(r.rid, []).append(r.pos)
+    out = [(a, b) for r in pairs for a in rows[r.rid_a] for b in rows[r.rid_b]]
+    if across:
+        return out
+    inside = [(a, b) for v in rows.values() for a in v for b in v if a < b]
+    return [(min(x), max(x)) for x in out] + inside
+
+
 @pytest.mark.parametrize("across", [False, True])
 def test_fuzzy_against_loops(spark, across):
     rng = random.Random(7)
@@ -107,8 +119,11 @@ def test_fuzzy_against_loops(spark, across):
                 want.add((a[0], b[0]))
             if not across and a[3] == b[3]:
                 want.add((min(a[0], b[0]), max(a[0], b[0])))
-    got = [(r.pos_a, r.pos_b) for r in fuzzy.scored_pairs(p, across).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
+    classes = fuzzy.classes_of(p)
+    for chunk in (2000, 3):
+        pairs = fuzzy.class_pairs(classes, fuzzy.scored_texts(classes, chunk=chunk), across)
+        got = expanded(pairs.collect(), fuzzy.members(p).collect(), across)
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_fuzzy_one_sided(spark):
@@ -117,9 +132,35 @@ def test_fuzzy_one_sided(spark):
     assert fuzzy.scored_pairs(p, True).count() == 0 and fuzzy.scored_pairs(p, True, one_sided=False).count() == 1
 
 
-def test_fuzzy_removal_order(spark):
-    pairs = frame(spark, [("train", "val", 1, 2, 95.0), ("val", "test", 2, 3, 95.0)], "side_a string, side_b string, pos_a long, pos_b long, score double")
-    assert sorted(r.pos for r in fuzzy.across_removals(pairs).collect()) == [2, 3]
+def test_fuzzy_of_longer_texts(spark):
+    """Lengths that differ, edits spread over the text, letters beyond ASCII."""
+    rng = random.Random(11)
+    words = ["sign", "language", "für", "deaf", "people", "hände", "watch", "the", "a", "today", "ж", "news"]
+    rows = []
+    for i in range(40):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(1, 14)))
+        for k in range(4):
+            u = list(t)
+            for _ in range(rng.randint(0, 7)):
+                at = rng.randrange(len(u) + 1)
+                u[at : at + rng.randint(0, 1)] = rng.choice(["", "x", " ", "ü"])
+            rows.append((len(rows), "".join(u), 5, "train"))
+    p = fuzzy.prepared(frame(spark, rows, "pos long, text string, wc int, side string"), F.col("pos"), F.col("text"), F.col("wc"), F.col("side"))
+    kept = {r.pos: r.norm for r in p.collect()}
+    want = {(a, b) for a in kept for b in kept if a < b and indel_ratio(kept[a], kept[b]) >= 90}
+    classes = fuzzy.classes_of(p)
+    for chunk in (2000, 3):
+        got = expanded(fuzzy.class_pairs(classes, fuzzy.scored_texts(classes, chunk=chunk), False).collect(), fuzzy.members(p).collect(), False)
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_fuzzy_removals(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(3, text, 10, "train"), (5, text, 10, "train"), (4, text + "s", 11, "train"), (1, text + "s", 10, "val"), (2, text + "s", 10, "val"),
+            (6, text, 9, "test"), (7, "quite another", 10, "test"), (8, text, 10, None), (9, text + "s", 12, "test")]
+    p = fuzzy.prepared(frame(spark, rows, "pos long, text string, wc int, side string"), F.col("pos"), F.col("text"), F.col("wc"), F.col("side"))
+    assert sorted(tuple(r) for r in fuzzy.removals(p).collect()) == [(1, "across"), (2, "within"), (4, "within"), (5, "within"), (6, "across")]
+    assert fuzzy.removals(p.limit(0)).count() == 0
 
 
 def test_stratified(spark):
