@@ -18,18 +18,28 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests, a laptop), a
-    fresh temporary folder, which is then set for the session."""
+    """The folder in ``spark.checkpoint.dir``; where unset on one machine (tests, a
+    laptop), a fresh temporary folder, which is then set for the session.  On a
+    cluster that is an error: other executors could not read it."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = "file://" + tempfile.mkdtemp(prefix="tarnloom-")
         spark.conf.set("spark.checkpoint.dir", conf)
         _made.append((spark, conf))
     return conf.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_dir(spark)}/tarnloom/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,12 +58,11 @@ def cut(df: DataFrame, name: str = "t", partition_by: list[str] | None = None) -
     """Write ``df`` to the shared folder and return the table read back.  The
     folder of the written table is removed when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnloom/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tarnloom_path = path
     return out

@@ -180,10 +180,11 @@ def trim_status(m: DataFrame, jobs: DataFrame) -> DataFrame:
 
 @query(
     "p17_in_range", "clip_jobs",
-    sql="SELECT vid, duration_sec, CASE WHEN duration_sec IS NULL OR duration_sec::VARCHAR = 'nan' THEN '' WHEN duration_sec BETWEEN 1.3 AND 8.0 THEN 'YES' ELSE 'NO' END AS flag FROM clip_jobs",
+    sql="SELECT vid, CASE WHEN duration_sec::VARCHAR <> 'nan' THEN duration_sec END AS duration_sec, CASE WHEN duration_sec IS NULL OR duration_sec::VARCHAR = 'nan' THEN '' WHEN duration_sec BETWEEN 1.3 AND 8.0 THEN 'YES' ELSE 'NO' END AS flag FROM clip_jobs",
 )
 def in_range(jobs: DataFrame) -> DataFrame:
-    return jobs.select("vid", "duration_sec", S.in_range(F.col("duration_sec")).alias("flag"))
+    """Whether a duration lies in the wanted range; NaN durations come out as null."""
+    return jobs.select("vid", F.when(~F.isnan("duration_sec"), F.col("duration_sec")).alias("duration_sec"), S.in_range(F.col("duration_sec")).alias("flag"))
 
 
 @query(

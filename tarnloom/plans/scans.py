@@ -6,17 +6,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnloom.functions.ids import canonical_split, canonical_vid
-from tarnloom.plans.lineage import shared_dir, table
+from tarnloom.operators import splitting
+from tarnloom.plans.lineage import scratch, table
 from tarnloom.plans.registry import ORACLE, QUERIES, SPLIT_SQL, query, vid_sql
 from tarnloom.sources import readers as R, schema, writers as K
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/tarnloom/{name}-{uuid.uuid4().hex}"
-
-
 def with_session(name: str, sql: str | None = None):
     def wrap(f):
         QUERIES[name] = f
@@ -28,7 +23,7 @@ def with_session(name: str, sql: str | None = None):
 
 
 def _tsv(spark: SparkSession, d: str) -> str:
-    path = _scratch(spark, "manifest-tsv")
+    path = scratch(spark, "manifest-tsv")
     K.write_separated(table(spark, d, "manifest"), path, ["vid", "text", "duration_sec", "word_count", "file_path", "source"])
     return path
 
@@ -36,13 +31,13 @@ def _tsv(spark: SparkSession, d: str) -> str:
 @with_session("s01_k01_tsv_strings", sql="SELECT vid, nullif(text, '') AS text, word_count::VARCHAR AS word_count, source FROM manifest")
 def tsv_strings(spark: SparkSession, d: str) -> DataFrame:
     """A manifest written as TSV and read back as strings; an empty text is null."""
-    return R.read_separated(spark, _tsv(spark, d)).select("vid", F.nullif("text", F.lit("")).alias("text"), "word_count", "source")
+    return R.read_separated(spark, _tsv(spark, d), multi_line=True).select("vid", F.nullif("text", F.lit("")).alias("text"), "word_count", "source")
 
 
 @with_session("s02_s03_tsv_typed", sql="SELECT vid, duration_sec, word_count FROM manifest")
 def tsv_typed(spark: SparkSession, d: str) -> DataFrame:
     """The same, with a declared schema."""
-    return R.read_separated(spark, _tsv(spark, d), ddl=schema.MANIFEST).select("vid", "duration_sec", "word_count")
+    return R.read_separated(spark, _tsv(spark, d), ddl=schema.MANIFEST, multi_line=True).select("vid", "duration_sec", "word_count")
 
 
 @query("s04_pruned_scan", "manifest", sql="SELECT vid, source, duration_sec FROM manifest WHERE duration_sec > 5")
@@ -53,7 +48,7 @@ def pruned_scan(m: DataFrame) -> DataFrame:
 @with_session("s05_split_files", sql=f"SELECT {SPLIT_SQL} AS split, count(*) AS n FROM clip_jobs WHERE {SPLIT_SQL} IS NOT NULL GROUP BY 1")
 def split_files(spark: SparkSession, d: str) -> DataFrame:
     """A file per split written, then read as one table; a missing file is skipped."""
-    root = _scratch(spark, "splits")
+    root = scratch(spark, "splits")
     jobs = table(spark, d, "clip_jobs").withColumn("s", canonical_split(F.col("split")))
     paths = {s: f"{root}/{s}" for s in ("train", "val", "test")}
     for s, path in paths.items():
@@ -62,9 +57,9 @@ def split_files(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("split").agg(F.count("*").alias("n"))
 
 
-@with_session("s06_csv_boxes", sql="SELECT vid, x1, y1, x2, y2, failed FROM bbox WHERE vid = trim(vid)")
+@with_session("s06_csv_boxes", sql="SELECT vid, x1, y1, x2, y2, failed FROM bbox")
 def csv_boxes(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "bbox-csv")
+    path = scratch(spark, "bbox-csv")
     K.write_separated(table(spark, d, "bbox"), path, sep=",", order=["vid"])
     df = R.read_separated(spark, path, sep=",", ddl="vid string, x1 int, y1 int, x2 int, y2 int, failed boolean")
     return df.select("vid", "x1", "y1", "x2", "y2", "failed")
@@ -79,13 +74,14 @@ def parquet_scan(e: DataFrame) -> DataFrame:
     "s08_json_map",
     sql=f"""SELECT {vid_sql()} AS vid, round(max(x1::DOUBLE / frame_width), 9) AS left_edge FROM bbox WHERE x1 IS NOT NULL AND frame_width > 0 GROUP BY 1""",
 )
-def json_map(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes as one JSON object per file ({vid: [x]}), read as rows."""
-    path = _scratch(spark, "boxes-json")
+def json_map(spark: SparkSession, d: str, most: int = 1000) -> DataFrame:
+    """Boxes as JSON objects ({vid: [x]}) of about ``most`` clips, one a line, read as rows."""
+    path = scratch(spark, "boxes-json")
     b = table(spark, d, "bbox").where("x1 IS NOT NULL AND frame_width > 0")
     per = b.groupBy(canonical_vid(F.col("vid")).alias("vid")).agg(F.max(F.col("x1") / F.col("frame_width")).alias("x"))
-    buckets = per.groupBy(F.pmod(F.xxhash64("vid"), F.lit(16)).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("vid", F.array("x")))).alias("m"))
-    buckets.select(F.to_json("m").alias("value")).repartition(16, F.rand(1)).write.text(path)
+    # as many objects as rows ask for, so that none grows with the table
+    buckets = per.groupBy(F.pmod(F.xxhash64("vid"), F.ceil(per.agg(F.count("*")).scalar() / most) + 1).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("vid", F.array("x")))).alias("m"))
+    buckets.select(F.to_json("m").alias("value")).write.text(path)
     lines = spark.read.text(path)
     rows = lines.select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("vid", "v"))
     return rows.select("vid", F.round(F.get("v", F.lit(0)), 9).alias("left_edge"))
@@ -93,7 +89,7 @@ def json_map(spark: SparkSession, d: str) -> DataFrame:
 
 @with_session("s09_k08_json_documents", sql="SELECT doc_id, n_chars, lang FROM documents")
 def json_documents(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "docs-json")
+    path = scratch(spark, "docs-json")
     K.write_json(table(spark, d, "documents").select("doc_id", "n_chars", "lang"), path)
     return spark.read.schema("doc_id long, n_chars long, lang string").json(path)
 
@@ -101,7 +97,7 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
 @with_session("s10_k05_append_log", sql="SELECT global_step, source, count(*) AS n FROM gen_samples GROUP BY ALL")
 def append_log(spark: SparkSession, d: str) -> DataFrame:
     """A log written in two appends, read with positions."""
-    path = _scratch(spark, "log")
+    path = scratch(spark, "log")
     g = table(spark, d, "gen_samples").select("global_step", "source")
     for half in (0, 1):
         K.append_log(g.where(F.col("global_step") % 2 == half), path, ["global_step", "source", "note"])
@@ -112,53 +108,26 @@ def append_log(spark: SparkSession, d: str) -> DataFrame:
 @with_session("s11_listing", sql="SELECT count(*) AS files, true AS sane FROM (SELECT DISTINCT doc_kind FROM documents)")
 def listing(spark: SparkSession, d: str) -> DataFrame:
     """Files of a folder by their metadata only."""
-    path = _scratch(spark, "kinds")
+    path = scratch(spark, "kinds")
     table(spark, d, "documents").select("doc_kind", "doc_id").repartition("doc_kind").write.partitionBy("doc_kind").parquet(path)
     files = R.list_files(spark, path, "*.parquet").select(F.regexp_extract("path", "doc_kind=([^/]+)", 1).alias("k"), "length")
     return files.groupBy("k").agg(F.min("length").alias("least")).agg(F.count("*").alias("files"), F.bool_and(F.col("least") >= 500).alias("sane"))
 
 
-@with_session("s13_npz", sql="SELECT vec_id, len(embedding)::INT AS n FROM embeddings WHERE vec_id < 20")
+@with_session("s13_npz", sql="SELECT vec_id, len(embedding)::INT AS n FROM embeddings")
 def npz(spark: SparkSession, d: str) -> DataFrame:
     """All vectors as npz archives, written by tasks and read back: per batch and
-    length one archive of many vectors.  A null vector stays null.  (The twin looks
-    at the first 20 vectors only.)"""
-    import io
-    import zipfile
-
-    path = _scratch(spark, "npz").removeprefix("file://")
-    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
-
-    def save(batches):
-        import os
-
-        import numpy as np
-        from pyspark import TaskContext
-
-        os.makedirs(path, exist_ok=True)
-        part = TaskContext.get().partitionId()
-        for k, b in enumerate(batches):
-            sizes = b["embedding"].map(lambda v: -1 if v is None else len(v))
-            for n, same in b.groupby(sizes):
-                arrays = {"vec_id": np.asarray(same["vec_id"], np.int64)}
-                if n >= 0:
-                    arrays["pose"] = np.stack([np.asarray(v, np.float32) for v in same["embedding"]])
-                with zipfile.ZipFile(f"{path}/{part}-{k}-{n}.npz", "w") as z:  # the same name when a task is repeated
-                    for name, a in arrays.items():
-                        raw = io.BytesIO()
-                        np.save(raw, a)
-                        z.writestr(f"{name}.npy", raw.getvalue())
-            yield pd.DataFrame({"n": [len(b)]})
-
-    vectors.mapInPandas(save, "n long").agg(F.sum("n")).collect()
-    ids = R.read_npz(spark, f"file://{path}", "vec_id", "array<long>").select("path", F.posexplode("data").alias("i", "vec_id"))
-    poses = R.read_npz(spark, f"file://{path}", "pose", "array<array<float>>").select("path", F.col("data").alias("pose"))
+    length one archive of many vectors.  A null vector stays null."""
+    path = scratch(spark, "npz")
+    K.write_npz(table(spark, d, "embeddings").select("vec_id", "embedding"), path, "vec_id", "embedding", "pose")
+    ids = R.read_npz(spark, path, "vec_id", "array<long>").select("path", F.posexplode("data").alias("i", "vec_id"))
+    poses = R.read_npz(spark, path, "pose", "array<array<float>>").select("path", F.col("data").alias("pose"))
     return ids.join(poses, "path").select("vec_id", F.size(F.get("pose", F.col("i"))).alias("n"))
 
 
-@with_session("k02_sorted_sink", sql="SELECT vid, detection_rate FROM bbox WHERE vid = trim(vid)")
+@with_session("k02_sorted_sink", sql="SELECT vid, detection_rate FROM bbox")
 def sorted_sink(spark: SparkSession, d: str) -> DataFrame:
-    path = _scratch(spark, "sorted")
+    path = scratch(spark, "sorted")
     K.write_separated(table(spark, d, "bbox"), path, ["vid", "detection_rate"], order=["vid", "detection_rate"])
     return R.read_separated(spark, path, ddl="vid string, detection_rate double")
 
@@ -166,7 +135,7 @@ def sorted_sink(spark: SparkSession, d: str) -> DataFrame:
 @with_session("k04_k11_versions", sql="SELECT split, count(*) AS n FROM manifest WHERE split IS NOT NULL GROUP BY 1")
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Two versions committed; the reader sees the second, the first is a backup."""
-    root = _scratch(spark, "versions")
+    root = scratch(spark, "versions")
     g = table(spark, d, "manifest").groupBy("split").agg(F.count("*").alias("n"))
     K.commit_version(g, root)
     K.commit_version(g.where("split IS NOT NULL"), root)
@@ -246,15 +215,18 @@ def array_functions(e: DataFrame) -> DataFrame:
 
 @query(
     "n06_padded", "manifest",
-    sql=r"""WITH w AS (SELECT pos, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM manifest WHERE text IS NOT NULL), n AS (SELECT max(len(w)) AS n FROM w)
-      SELECT pos, list_resize(w, n, '<pad>') AS padded, list_transform(range(1, n + 1), lambda i: i <= len(w)) AS mask FROM w, n""",
+    sql=r"""WITH w AS (SELECT pos, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda w: w <> '') AS w FROM manifest WHERE text IS NOT NULL),
+      r AS (SELECT *, (row_number() OVER (ORDER BY len(w), pos) - 1) // 64 AS batch FROM w), n AS (SELECT *, max(len(w)) OVER (PARTITION BY batch) AS n FROM r)
+      SELECT pos, batch, list_resize(w, n, '<pad>') AS padded, list_transform(range(1, n + 1), lambda i: i <= len(w)) AS mask FROM n""",
 )
-def padded(m: DataFrame) -> DataFrame:
-    """Ragged arrays padded to the longest, with a mask."""
+def padded(m: DataFrame, size: int = 64) -> DataFrame:
+    """Batches of ``size`` texts of like length, their words padded to the longest of
+    the batch, with a mask: one long text lengthens its own batch only."""
     w = m.where(F.col("text").isNotNull()).select("pos", F.filter(F.split("text", r"[ \t\r\n]+"), lambda x: x != "").alias("w"))
-    both = w.withColumn("n", w.agg(F.max(F.size("w"))).scalar())
-    mask = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i <= F.size("w"))
-    return both.select("pos", F.concat("w", F.array_repeat(F.lit("<pad>"), F.col("n") - F.size("w"))).alias("padded"), mask.alias("mask"))
+    rows = splitting.batches(w.withColumn("k", F.size("w")), ["k", "pos"], size)
+    both = rows.join(rows.groupBy("batch").agg(F.max("k").alias("n")), "batch")
+    mask = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: i <= F.col("k"))).otherwise(F.array().cast("array<boolean>"))
+    return both.select("pos", "batch", F.concat("w", F.array_repeat(F.lit("<pad>"), F.col("n") - F.col("k"))).alias("padded"), mask.alias("mask"))
 
 
 @query("n07_grouped_by_size", "bbox", sql=f"SELECT {vid_sql()} AS vid, frame_width, frame_height, count(*) OVER (PARTITION BY frame_width, frame_height) AS alike FROM bbox WHERE frame_width IS NOT NULL")

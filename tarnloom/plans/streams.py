@@ -6,9 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnloom.functions.ids import canonical_vid
-from tarnloom.plans.lineage import table
+from tarnloom.plans.lineage import scratch, table
 from tarnloom.plans.registry import query, vid_sql
-from tarnloom.plans.scans import _scratch, with_session
+from tarnloom.plans.scans import with_session
 from tarnloom.streaming import incremental as I
 
 
@@ -21,7 +21,7 @@ def resumed_stream(spark: SparkSession, d: str) -> DataFrame:
     """Jobs processed by a file stream in two runs; the second goes on where the
     first ended."""
     jobs = table(spark, d, "clip_jobs").select(canonical_vid(F.col("vid")).alias("vid"), "source_file")
-    src, out, check = _scratch(spark, "jobs"), _scratch(spark, "done"), _scratch(spark, "check")
+    src, out, check = scratch(spark, "jobs"), scratch(spark, "done"), scratch(spark, "check")
     odd = F.pmod(F.xxhash64("vid"), F.lit(2)) == 1
     for part in (jobs.where(odd), jobs.where(~odd)):
         part.write.mode("append").parquet(src)
@@ -33,10 +33,10 @@ def resumed_stream(spark: SparkSession, d: str) -> DataFrame:
 def idempotent(spark: SparkSession, d: str) -> DataFrame:
     """Outputs that exist are skipped: the same files twice add nothing."""
     m = table(spark, d, "manifest").select(canonical_vid(F.col("vid")).alias("vid"))
-    src, out = _scratch(spark, "src"), _scratch(spark, "out")
+    src, out = scratch(spark, "src"), scratch(spark, "out")
     m.repartition(4).write.parquet(src)
     for _ in range(2):
-        I.run_batches(I.stream_files(spark, src, "vid string", per_trigger=2), I.upsert_new(out, "vid"), _scratch(spark, "check"))
+        I.run_batches(I.stream_files(spark, src, "vid string", per_trigger=2), I.upsert_new(out, "vid"), scratch(spark, "check"))
     return spark.read.parquet(out)
 
 
@@ -44,9 +44,9 @@ def idempotent(spark: SparkSession, d: str) -> DataFrame:
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
     """A log of CSV files read as a stream and appended to a table."""
     g = table(spark, d, "gen_samples").select("global_step", "source")
-    src, out = _scratch(spark, "log"), _scratch(spark, "table")
+    src, out = scratch(spark, "log"), scratch(spark, "table")
     g.repartition(3).write.csv(src, header=True)
-    I.run_available(I.stream_files(spark, src, "global_step long, source string", "csv", header="true"), out, _scratch(spark, "check"))
+    I.run_available(I.stream_files(spark, src, "global_step long, source string", "csv", header="true"), out, scratch(spark, "check"))
     return spark.read.schema("global_step long, source string").parquet(out)
 
 
@@ -56,11 +56,11 @@ def log_stream(spark: SparkSession, d: str) -> DataFrame:
 def completion_stream(spark: SparkSession, d: str) -> DataFrame:
     """Progress per key in complete mode, as of the last batch."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    src, out = _scratch(spark, "events"), _scratch(spark, "progress")
+    src, out = scratch(spark, "events"), scratch(spark, "progress")
     e.repartitionByRange(4, "event_id").write.parquet(src)
     stream = I.stream_files(spark, src, _ddl(e), per_trigger=2)
     progress = I.completion(stream, "user_id", F.lit(1), F.col("event_type") != "error")
-    I.run_batches(progress, lambda b, _: b.write.mode("overwrite").parquet(out), _scratch(spark, "check"), "complete")
+    I.run_batches(progress, lambda b, _: b.write.mode("overwrite").parquet(out), scratch(spark, "check"), "complete")
     return spark.read.parquet(out).where("done > 0").select("user_id", "done")
 
 
@@ -72,7 +72,7 @@ def staged_commit(docs: DataFrame) -> DataFrame:
 
     spark = docs.sparkSession
     stage = cut(docs.select("doc_kind", "doc_id"), "stage")
-    root = _scratch(spark, "final")
+    root = scratch(spark, "final")
     K.commit_version(stage.groupBy("doc_kind").agg(F.count("*").alias("n")), root)
     return K.read_current(spark, root)
 
@@ -92,10 +92,10 @@ def tumbling(spark: SparkSession, d: str) -> DataFrame:
     """An extension: hourly windows over event time with a watermark, files in order
     of time."""
     e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    src, out = _scratch(spark, "events"), _scratch(spark, "hours")
+    src, out = scratch(spark, "events"), scratch(spark, "hours")
     e.repartitionByRange(4, "ts").write.parquet(src)
     w = I.windowed(I.stream_files(spark, src, _ddl(e), per_trigger=4), "ts", "1 hour", "30 days", ["event_type"], "value")
-    I.run_batches(w, lambda b, _: b.write.mode("overwrite").parquet(out), _scratch(spark, "check"), "complete")
+    I.run_batches(w, lambda b, _: b.write.mode("overwrite").parquet(out), scratch(spark, "check"), "complete")
     return spark.read.parquet(out).select(F.unix_micros("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

@@ -41,8 +41,12 @@ _F5 = "text"
 for _c in ("!", "?", ".", "-", ",", ";", ":"):
     _F5 = rf"regexp_replace({_F5}, '\{_c}{{2,}}', '{_c}', 'g')"
 _column("t09_repeated_punctuation", _F5, T.single_punctuation)
-_column("t10_sentence_case", None, T.sentence_case)
-_column("t11_unpaired_removed", None, T.without_unpaired)
+_column(
+    "t10_sentence_case",
+    r"""CASE WHEN len(regexp_extract_all(text, '\p{Lu}')) > 18 THEN array_to_string(list_transform(regexp_extract_all(lower(text), '(?s)[^.!?]*[.!?]|[^.!?]+$'),
+      lambda p: regexp_extract(p, '^[^\p{L}]*') || upper(regexp_extract(p, '^[^\p{L}]*(\p{L})', 1)) || regexp_extract(p, '(?s)^[^\p{L}]*\p{L}?(.*)$', 1)), '') ELSE text END""",
+    T.sentence_case,
+)
 _column("t12_tidied", f"regexp_replace(regexp_replace(text, ' {{2,}}', ' ', 'g'), '^[{WS_SQL}]+|[{WS_SQL}]+$', '', 'g')", T.tidied)
 _column("t34_display_cut", "substring(text, 1, 80)", lambda c: F.substring(c, 1, 80), "cut")
 _column("t36_length", f"length(regexp_replace(text, '^[{WS_SQL}]+|[{WS_SQL}]+$', '', 'g'))", lambda c: F.length(T.edge_stripped(c)), "chars")
@@ -77,6 +81,17 @@ _CHECK_SQL = {
     "13_no_letters": r"NOT regexp_matches(text, '\p{L}')",
     "14_long": "length(text) > 500",
 }
+# brackets of one kind as +1 and -1: their running sum must never fall below 0 and end at 0
+_DEPTH = """list_reduce(list_transform(string_split(regexp_replace({c}, '[^\\{l}\\{r}]', '', 'g'), ''), lambda x: [CASE x WHEN '{l}' THEN 1 WHEN '{r}' THEN -1 ELSE 0 END, 0]),
+  lambda a, x: [a[1] + x[1], greatest(a[2], CASE WHEN a[1] + x[1] < 0 THEN 1 ELSE 0 END)], [0, 0])"""
+_ODD_SQL = """length(regexp_replace({c}, '[^"]', '', 'g')) % 2 = 1"""
+
+
+def _unpaired_sql(left: str, right: str, c: str = "text") -> str:
+    return "(" + _DEPTH.replace("{c}", c).replace("{l}", left).replace("{r}", right) + " <> [0, 0])"
+
+
+_CHECK_SQL["15_unpaired"] = "(" + " OR ".join([*(_unpaired_sql(a, b) for a, b in T.BRACKETS), _ODD_SQL.replace("{c}", "text")]) + ")"
 _HIT_SQL = " UNION ALL ".join(f"SELECT pos, split, '{k}' AS issue FROM t WHERE {v}" for k, v in _CHECK_SQL.items())
 
 
@@ -87,6 +102,13 @@ def issues(m: DataFrame, checks=T.CHECKS) -> DataFrame:
     return _texts(m).select("pos", canonical_split(F.col("split")).alias("split"), F.explode(hit).alias("issue"))
 
 
+_PAIRED = "SELECT pos, text AS t0 FROM manifest WHERE text IS NOT NULL"
+for _i, (_a, _b) in enumerate(T.BRACKETS):
+    _PAIRED = f"SELECT pos, CASE WHEN {_unpaired_sql(_a, _b, f't{_i}')} THEN translate(t{_i}, '{_a}{_b}', '') ELSE t{_i} END AS t{_i + 1} FROM ({_PAIRED})"
+query("t11_unpaired_removed", "manifest", sql=f"""SELECT pos, CASE WHEN {_ODD_SQL.replace('{c}', 't3')} THEN replace(t3, '"', '') ELSE t3 END AS fixed FROM ({_PAIRED})""")(
+    lambda m: _texts(m).select("pos", T.without_unpaired(F.col("text")).alias("fixed"))
+)
+
 for _i, (_name, _check) in enumerate(T.CHECKS):
     _sql = _CHECK_SQL.get(_name)
     query(f"t{14 + _i}_check_{_name}", "manifest", sql=_sql and f"SELECT pos FROM manifest WHERE text IS NOT NULL AND {_sql}")(
@@ -101,8 +123,7 @@ for _i, (_name, _check) in enumerate(T.CHECKS):
       UNION ALL SELECT 'any' AS issue, split, count(DISTINCT pos) AS texts FROM h GROUP BY split""",
 )
 def issue_summary(m: DataFrame) -> DataFrame:
-    """Texts per issue and split, and those with any issue.  (The twin lacks the
-    last check, which SQL cannot repeat: it is equal only where no text fails it.)"""
+    """Texts per issue and split, and those with any issue, by all fifteen checks."""
     h = issues(m)
     any_issue = h.groupBy("split").agg(F.countDistinct("pos").alias("texts")).select(F.lit("any").alias("issue"), "split", "texts")
     return h.groupBy("issue", "split").agg(F.count("*").alias("texts")).unionByName(any_issue)

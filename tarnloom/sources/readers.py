@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tarnloom.sources.schema import PROBE, typed
 
 
-def read_separated(spark: SparkSession, path: str | list[str], sep: str = "\t", ddl: str | None = None) -> DataFrame:
-    """A separated file with a header, all columns as strings, doubled quotes and
-    line breaks in quotes allowed; names are stripped.  Only empty fields are null.
+def read_separated(spark: SparkSession, path: str | list[str], sep: str = "\t", ddl: str | None = None, multi_line: bool = False) -> DataFrame:
+    """A separated file with a header, all columns as strings, doubled quotes
+    allowed; names are stripped.  ``multi_line``: line breaks in quotes are allowed
+    too, for which a file is read by one task.  Only empty fields are null.
     ``ddl``: cast to it, null where that fails, and an error for a missing column."""
-    df = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=True, inferSchema=False, enforceSchema=False)
+    df = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False, enforceSchema=False)
     df = df.toDF(*[c.strip() for c in df.columns])
     return typed(df, ddl) if ddl else df
 

@@ -16,7 +16,7 @@ def test_separated_round_trip(spark, tmp_path):
     rows = [("a", 'say "hi"\tnow', 1), ("b", "two\nlines", None), ("c", None, 3), (" d ", "NA", 4)]
     df = spark.createDataFrame(rows, "vid string, text string, n int")
     K.write_separated(df.withColumn("_help", F.lit(1)), str(tmp_path / "t"), order=["vid"])
-    got = R.read_separated(spark, str(tmp_path / "t"), ddl="vid string, text string, n int")
+    got = R.read_separated(spark, str(tmp_path / "t"), ddl="vid string, text string, n int", multi_line=True)
     assert sorted(map(tuple, got.collect())) == sorted(rows)
 
 
