@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
@@ -18,9 +19,10 @@ from tarnloom.functions.ids import canonical_source, canonical_split, canonical_
 from tarnloom.operators import graph
 from tarnloom.plans.lineage import cut
 
-#: Largest remainder, in rows, that is filled by subset sums; what lies above
-#: is filled with the largest sizes first.  Bounds a bitset to 128 KB.
-BITSET_ROWS = 1 << 20
+#: Rows that are first left to subset sums after the largest sizes are taken; where
+#: that misses the target, all rows are.
+WINDOW_ROWS = 1 << 20
+_MIRRORED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1), axis=1, bitorder="little")[:, 0]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,46 +31,88 @@ def components(edges: DataFrame) -> DataFrame:
     return graph.components(edges, "u", "v").withColumnRenamed("component", "parent")
 
 
-def closest_counts(sizes: dict[int, int], target: int) -> dict[int, int]:
+def _parcels(sizes: dict[int, int], top: int) -> list[tuple[int, int]]:
+    """``(size, copies)``: multiplicities split binarily, so that any number of copies
+    up to the multiplicity is a sum of some; no more than fit into ``top``."""
+    out = []
+    for s, m in sorted(sizes.items()):
+        m, part = min(m, top // s), 1
+        while m > 0:
+            out.append((s, min(part, m)))
+            m -= part
+            part *= 2
+    return out
+
+
+def _reach(parcels: list[tuple[int, int]], top: int) -> int:
+    """Bit t: t rows, at most ``top``, are the sum of some parcels."""
+    bits, mask = 1, (1 << (top + 1)) - 1
+    for s, k in parcels:
+        bits |= (bits << (s * k)) & mask
+    return bits
+
+
+def _nearest(bits: int, target: int) -> int:
+    """The set bit nearest to ``target``, of two the lower."""
+    below = (bits & ((1 << (target + 1)) - 1)).bit_length() - 1
+    above = bits >> (target + 1)
+    over = (above & -above).bit_length() if above else None
+    return target + over if over is not None and over < target - below else below
+
+
+def _taken(parcels: list[tuple[int, int]], total: int, taken: dict[int, int]) -> None:
+    """Adds to ``taken`` parcels of exactly ``total`` rows.  Both halves of the parcels
+    are summed up, a total of the first is chosen that the second completes, and each
+    half is solved alone: never more than three bitsets of ``total`` bits are held."""
+    if not total:
+        return
+    if len(parcels) == 1:
+        taken[parcels[0][0]] = taken.get(parcels[0][0], 0) + parcels[0][1]
+        return
+    half = len(parcels) // 2
+    second = _reach(parcels[half:], total).to_bytes(total // 8 + 1, "little")
+    mirrored = _MIRRORED[np.frombuffer(second, np.uint8)[::-1]].tobytes()
+    both = _reach(parcels[:half], total) & (int.from_bytes(mirrored, "little") >> (8 * len(second) - 1 - total))
+    first = (both & -both).bit_length() - 1
+    del second, mirrored, both
+    _taken(parcels[:half], first, taken)
+    _taken(parcels[half:], total - first, taken)
+
+
+def closest_counts(sizes: dict[int, int], target: int, window: int = WINDOW_ROWS) -> dict[int, int]:
     """How many components of each size to take so that their rows come closest
     to ``target`` (of two equally close totals the smaller).
 
-    ``sizes`` maps a size to its multiplicity.  Largest sizes first while more
-    than ``BITSET_ROWS`` rows are wanted; the rest by subset sums, where bit t of
-    an integer says that t rows can be had, with multiplicities split binarily."""
-    left, taken = dict(sizes), {s: 0 for s in sizes}
+    ``sizes`` maps a size to its multiplicity.  Subset sums, where bit t of an integer
+    says that t rows can be had.  First the largest sizes are taken down to ``window``
+    rows and only the rest is summed: if that meets the target, nothing is closer.
+    Else all sizes are, up to as far beyond the target as the first way misses it;
+    the result is exact either way.  A bitset has ``target`` bits then, an eighth of
+    its rows in bytes, and three of them are held."""
+    unit = math.gcd(*sizes) if sizes else 1
+    left, taken, rest = {s // unit: n for s, n in sizes.items()}, {}, max(0, target) // unit
     for s in sorted(left, reverse=True):
-        k = min(left[s], max(0, (target - BITSET_ROWS) // s))
-        taken[s] += k
-        left[s] -= k
-        target -= k * s
-    if target <= 0:
-        return {s: k for s, k in taken.items() if k}
-    top = 2 * target
-    items = []
-    for s, m in sorted(left.items()):
-        m, part = min(m, top // s), 1
-        while m > 0:
-            k = min(part, m)
-            items.append((s, k))
-            m -= k
-            part *= 2
-    mask, reach = (1 << (top + 1)) - 1, [1]
-    for s, k in items:
-        reach.append((reach[-1] | (reach[-1] << (s * k))) & mask)
-    for gap in range(target + 1):
-        if (reach[-1] >> (target - gap)) & 1:
-            total = target - gap
-            break
-        if (reach[-1] >> (target + gap)) & 1:
-            total = target + gap
-            break
-    for i in range(len(items) - 1, -1, -1):
-        if not (reach[i] >> total) & 1:
-            s, k = items[i]
-            taken[s] += k
-            total -= s * k
-    return {s: k for s, k in taken.items() if k}
+        k = min(left[s], max(0, (rest - window) // s))
+        if k:
+            taken[s], left[s], rest = k, left[s] - k, rest - k * s
+
+    def miss(total: int) -> tuple[int, int]:
+        return abs(total * unit - target), total
+
+    def nearest(parcels: list[tuple[int, int]], top: int, at: int, before: int) -> int:
+        bits = _reach(parcels, top)
+        return min((_nearest(bits, at), _nearest(bits, min(at + 1, top))), key=lambda t: miss(before + t))
+
+    before = max(0, target) // unit - rest
+    parcels = _parcels(left, 2 * rest + 1)
+    total = nearest(parcels, 2 * rest + 1, rest, before)
+    whole = max(0, target) // unit
+    if before and miss(before + total) > min(miss(whole), miss(whole + 1)):
+        top = whole + miss(before + total)[0] // unit + 1
+        taken, parcels = {}, _parcels({s // unit: n for s, n in sizes.items()}, top)
+        total = nearest(parcels, top, whole, 0)
+    _taken(parcels, total, taken)
+    return {s * unit: k for s, k in taken.items() if k}
 
 
 def plan_quotas(sizes: DataFrame, shares: dict[str, float]) -> DataFrame:

@@ -81,10 +81,24 @@ def test_closest_counts(sizes, target):
     assert abs(total - target) == best_total(sizes, target)[0]
 
 
-def test_closest_counts_with_greedy_part(monkeypatch):
-    monkeypatch.setattr(splits, "BITSET_ROWS", 50)
-    sizes = {7: 40, 3: 30, 1: 20}
-    assert sum(s * k for s, k in splits.closest_counts(sizes, 333).items()) == 333
+def test_closest_counts_of_any_window():
+    rng = random.Random(5)
+    for _ in range(400):
+        sizes = {rng.choice([1, 2, 3, 4, 6, 7, 9, 12, 15, 30]) * rng.choice([1, 1, 5]): rng.randint(1, 4) for _ in range(rng.randint(0, 4))}
+        sums, target = {0}, rng.randint(0, sum(s * m for s, m in sizes.items()) + 3)
+        for s, m in sizes.items():
+            sums = {t + k * s for t in sums for k in range(m + 1)}
+        for window in (splits.WINDOW_ROWS, 5, 1):
+            got = splits.closest_counts(sizes, target, window)
+            assert all(0 < k <= sizes[s] for s, k in got.items())
+            assert sum(s * k for s, k in got.items()) == min(sums, key=lambda t: (abs(t - target), t))
+
+
+def test_closest_counts_of_very_large_sizes():
+    assert splits.closest_counts({1_500_001: 1, 1_000_000: 3}, 3_000_000) == {1_000_000: 3}
+    sizes = {2 * s + 1: 1 for s in range(1_000_000, 1_000_060)}
+    total = sum(s * k for s, k in splits.closest_counts(sizes, 24_000_999).items())
+    assert total == min((sum(list(sizes)[:k]) + x for k in (11, 12) for x in range(0, 2 * k * (60 - k) + 1, 2)), key=lambda t: abs(t - 24_000_999))
 
 
 def test_resplit_keeps_recordings(spark):
