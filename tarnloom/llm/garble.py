@@ -2,10 +2,15 @@
 
 Twins are joined on text stripped of its non-ASCII characters.  The unit of the
 join is the token, since a token ("caf" of ``cafÃ©``) has far more clean twins
-than a whole caption.  Aligning the characters of a garbled token with those of
-its clean twin tells which transformation (bytes of one encoding read as another)
-made it; transformations with enough independent twins are learned, and their
-mappings applied to all records, twins or none.
+than a whole caption.  The characters of a token are aligned with those of its twin,
+the most frequent token of the same ASCII letters in the same places: what stands
+between two ASCII letters in the one stands for what stands there in the other.  A
+correspondence (``Ã©`` for ``é``) that several different words show, and that
+explains most words that hold it, is learned and applied to all records, twins or
+none.  So any encoding can be found, one that nobody has heard of too.
+
+Lists of known encodings are a prior: one that enough twins confirm extends the
+mapping to letters for which no twin is at hand, and to words without ASCII letters.
 
 Two families are told apart.  UTF-8 bytes read as a one-byte encoding leave
 sequences of two or more characters, which identify themselves once the
@@ -18,11 +23,13 @@ fits its pattern best.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tarnloom.llm.norm import INVISIBLE, LOOK_ALIKE
 from tarnloom.plans.lineage import cut
 
 #: Encodings as which UTF-8 is read by mistake (fixed values).
@@ -39,6 +46,11 @@ LEAST_TWINS = 2
 TIMES_COMMON = 3
 #: Letters of a clean twin of a token without ASCII characters.
 LEAST_LETTERS = 4
+#: Different words that show correspondences of one kind outside the prior, and the share
+#: that each must explain of all words which hold it: if it shortens the text, and if not.
+LEAST_WORDS, LEAST_SHARE, LEAST_SHARE_EVEN = 3, 0.5, 0.8
+#: Longest garbled sequence that stands for one or two characters.
+UNIT = 8
 LOST = "�"
 
 NOT_ASCII = r"[^\x00-\x7F]"
@@ -96,8 +108,12 @@ def unit_table(alphabet: dict[str, int], native: set[str] = frozenset(), joint:
     return out
 
 
+#: Learned by alignment alone.
+ALIGNED = "aligned"
+
+
 def many(name: str) -> bool:
-    return name.startswith("utf8>")
+    return name.startswith("utf8>") or name == ALIGNED
 
 
 class Decoder:
@@ -157,6 +173,91 @@ def _native_letters(tokens: DataFrame) -> set[str]:
     return out
 
 
+_RUN, _RUN_AND_NEXT = re.compile(r"[^\x00-\x7f]+"), re.compile(r"[^\x00-\x7f]+[\x00-\x7f]?")
+
+
+def _seen(t: str) -> str:
+    """The display form of a few characters."""
+    plain = unicodedata.normalize("NFC", t).translate({**{ord(k): v for k, v in LOOK_ALIKE.items()}, **dict.fromkeys(INVISIBLE)})
+    return unicodedata.normalize("NFC", plain)
+
+
+def _plausible(unit: str, back: str) -> bool:
+    """Not a matter of spelling: letter case, width, accents, invisible characters, or
+    one sign of punctuation for another."""
+    if LOST in unit + back or not 0 < len(back) <= 2 or len(unit) > UNIT:
+        return False
+    bare = "".join(c for c in unit if unicodedata.category(c) not in ("Mn", "Me", "Cf", "Zs"))
+    fold = lambda t: unicodedata.normalize("NFKC", t).casefold()
+    base = lambda t: [unicodedata.normalize("NFD", c)[0].casefold() for c in t]
+    if not bare or _seen(unit) == _seen(back) or fold(bare) == fold(back) or base(bare) == base(back):
+        return False
+    return any(unicodedata.category(c)[0] not in "PZ" for c in unit) or len(unit) > len(back)
+
+
+def _kind(unit: str, back: str) -> str:
+    """What correspondences of one encoding have in common: their lengths, and the two
+    scripts, or within one script the character they begin with."""
+    script = lambda c: unicodedata.name(c, "").split(" ")[0]
+    a, b = script(unit[0]), script(back[0])
+    return f"{len(unit)} {len(back)} {unit[0] if a in (b, '') else a + ' ' + b}"
+
+
+def aligned(garbled: str, clean: str, swallowed: bool = False) -> list[tuple[str, str]]:
+    """What the characters of a token correspond to in its twin.  ``swallowed``: the
+    garbled characters hold the ASCII letter after them too, as two-byte encodings
+    leave them.  Nothing if the two have not the same places for them."""
+    ours, theirs = _RUN.findall(garbled), (_RUN_AND_NEXT if swallowed else _RUN).findall(clean)
+    if len(ours) != len(theirs):
+        return []
+    out = []
+    for u, x in zip(ours, theirs):
+        k = len(u) // len(x)
+        if k * len(x) == len(u) and not swallowed:  # a sequence of one length a character
+            out += [(u[i * k : (i + 1) * k], c) for i, c in enumerate(x)]
+        else:
+            out.append((u, x))
+    return [(u, x) for u, x in out if u != x and _plausible(u, x)]
+
+
+def _correspondences(tokens: DataFrame) -> dict[str, tuple[str, float]]:
+    """``{unit: (original, share)}`` learned by aligning every token with the most
+    frequent one of its shape (its ASCII letters, and where others stand between
+    them): one twin a token, never all pairs of a shape.  Shapes of fewer than two ASCII
+    letters say nothing.  Only what is learned, an alphabet, comes to the driver."""
+    shape = lambda run: F.lower(F.regexp_replace("token", run, "\x01"))
+    worded = tokens.withColumn("shape", shape(r"[^\x00-\x7F]+")).where(F.col("shape").rlike("[0-9a-z].*[0-9a-z]"))
+    top = worded.groupBy("shape").agg(F.max_by(F.struct("token", "n"), F.struct("n", "token")).alias("t")).select("shape", F.col("t.token").alias("clean"), F.col("t.n").alias("clean_n"))
+    more = top.withColumn("token", F.col("clean")).select(shape(r"[^\x00-\x7F]+[\x00-\x7F]?").alias("more"), "clean", "clean_n")
+    more = more.groupBy("more").agg(F.max_by(F.struct("clean", "clean_n"), F.struct("clean_n", "clean")).alias("t")).select(F.col("more").alias("shape"), "t.*", F.lit(True).alias("swallowed"))
+    twins = worded.join(top.withColumn("swallowed", F.lit(False)).unionByName(more), "shape").where("token <> clean AND clean_n >= n")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for g, c, s, often, w in zip(*(b[i].to_pylist() for i in ("token", "clean", "swallowed", "often", "shape"))):
+                rows += [(_kind(u, x), u, x, w) for u, x in aligned(g, c, s) if often or len(u) > len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], names=["kind", "unit", "back", "shape"])
+
+    often = (F.col("clean_n") >= TIMES_COMMON * F.col("n")).alias("often")
+    seen = twins.select("token", "clean", "swallowed", often, "shape").mapInArrow(pairs, "kind string, unit string, back string, shape string")
+    votes = seen.groupBy("kind", "unit", "back").agg(F.countDistinct("shape").alias("words"))
+    best = votes.groupBy("unit").agg(F.max_by(F.struct("kind", "back", "words"), F.struct("words", "back")).alias("b")).select("unit", "b.*")
+    best = cut(best, "units")
+    kinds = best.groupBy("kind").agg(F.sum("words").alias("all")).where(F.col("all") >= LEAST_WORDS)
+    best = best.join(kinds, "kind", "left_semi")
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [u for t in b["token"].to_pylist() for u in {r[i : i + n] for r in _RUN.findall(t) for i in range(len(r)) for n in range(1, min(UNIT, len(r) - i) + 1)}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["unit"])
+
+    held = tokens.select("token").mapInArrow(substrings, "unit string").join(best.select("unit"), "unit", "left_semi").groupBy("unit").agg(F.count("*").alias("tokens"))
+    share = F.least(F.lit(1.0), F.col("words") / F.col("tokens"))
+    enough = share >= F.when(F.length("unit") > F.length("back"), LEAST_SHARE).otherwise(LEAST_SHARE_EVEN)
+    return {r["unit"]: (r["back"], r["share"]) for r in best.join(held, "unit").withColumn("share", share).where(enough).collect()}
+
+
 def _twin_candidates(tokens: DataFrame, tables: dict[str, dict[str, str]]) -> DataFrame:
     """``(token, n, how, restored)``: what each token would be if a given
     transformation had made it."""
@@ -175,11 +276,12 @@ def _twin_candidates(tokens: DataFrame, tables: dict[str, dict[str, str]]) -> Da
     return tokens.select("token", "n").mapInArrow(propose, "token string, n long, how string, restored string")
 
 
-def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]], DataFrame, DataFrame]:
+def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]], dict[str, dict[str, str]], dict[str, str], DataFrame, DataFrame]:
     """What the twins of ``df[column]`` teach: the tables by which the learned
     transformations are told, those by which they are undone (with natural letters
-    too), the confirmed tokens ``(token, how)`` of one-byte ones, and all distinct
-    tokens with a non-ASCII character ``(token, n)``.
+    too), what else single characters stand for, the confirmed tokens ``(token, how)``
+    of one-byte transformations, and all distinct tokens with a non-ASCII character
+    ``(token, n)``.
 
     The alphabet and the list of transformations are bounded by Unicode and come
     to the driver; tokens stay distributed."""
@@ -189,7 +291,9 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     alphabet = {r["c"]: r["count"] for r in chars.collect()}
     native = _native_letters(tokens)
     tables = unit_table(alphabet, native)
-    maybe = cut(_twin_candidates(tokens, tables), "maybe")
+    tokens_over = tokens.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # one small file otherwise
+    units = _correspondences(tokens_over)
+    maybe = cut(_twin_candidates(tokens_over, tables), "maybe")
     key = _skeleton(F.col("token"))
     # a clean twin has the same skeleton and is what the token is restored to; it is
     # itself no garble that a longer sequence explains
@@ -209,23 +313,32 @@ def learn(df: DataFrame, column: str = "text") -> tuple[dict[str, dict[str, str]
     quoted = maybe.where(F.col("how").isin(one_byte) & F.col("restored").rlike(r"^[“‘«„][0-9A-Za-z]+[”’»“]$") & F.col("token").rlike(r"^\p{L}.*\p{L}$"))
     dash = maybe.where(F.col("how").isin(one_byte) & F.col("restored").isin("–", "—") & F.col("token").rlike(r"^\p{L}$"))
     confirmed = sure.where(F.col("how").isin(one_byte)).select("token", "how").union(quoted.select("token", "how")).union(dash.select("token", "how")).distinct()
-    return known, {how: t for how, t in unit_table(alphabet, joint=True).items() if how in names}, confirmed, tokens
+    whole = {how: t for how, t in unit_table(alphabet, joint=True).items() if how in names}
+    prior = Decoder(*known.values())  # what it sees in part is not outside it
+    outside = {u: x for u, x in units.items() if not prior.once(u)[1]}
+    shrinking = {u: x for u, (x, _) in outside.items() if len(u) > len(x)}
+    if shrinking:
+        known[ALIGNED] = whole[ALIGNED] = shrinking
+    even = {u: x for u, (x, _) in outside.items() if len(u) <= len(x)}
+    return known, whole, even, confirmed, tokens
 
 
-def _apply(known: dict[str, dict[str, str]], whole: dict[str, dict[str, str]]):
+def _apply(known: dict[str, dict[str, str]], whole: dict[str, dict[str, str]], even: dict[str, str] | None = None):
     """Restores texts round by round: the transformation of which most is seen is
-    undone, until nothing more is seen."""
+    undone, until nothing more is seen; then what ``even`` says, once."""
     order = [f"utf8>{e}{low}" for low in ("", "|lower") for e in UTF8_READ_AS if f"utf8>{e}{low}" in known]
+    order += [ALIGNED] if ALIGNED in known else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         any_of = Decoder(*(known[how] for how in order))
+        last = Decoder(even or {})
         see, undo = [Decoder(known[how]) for how in order], [Decoder(whole[how]) for how in order]
 
         def restored(text: str) -> str:
             while any_of.once(text)[1]:  # each round replaces units by less: it ends
                 hits = [d.once(text)[1] for d in see]
                 text = undo[hits.index(max(hits))].once(text)[0]
-            return text
+            return last.once(text)[0]
 
         for b in batches:
             back = [restored(t) for t in b["text"].to_pylist()]
@@ -246,9 +359,9 @@ def repair(df: DataFrame, key: str = "pos", column: str = "text") -> DataFrame:
     else null.  Null and ASCII texts are never garbled; ``key`` must be unique."""
     src = df.select(F.col(key).alias("id"), F.col(column).alias("text"))
     odd = cut(src.where(F.col("text").rlike(NOT_ASCII) & F.col("id").isNotNull()), "odd")
-    known, whole, confirmed, tokens = learn(odd)
+    known, whole, even, confirmed, tokens = learn(odd)
     id_type = odd.schema["id"].dataType.simpleString()
-    decoded = cut(odd.mapInArrow(_apply(known, whole), f"id {id_type}, text string, restored string"), "decoded")
+    decoded = cut(odd.mapInArrow(_apply(known, whole, even), f"id {id_type}, text string, restored string"), "decoded")
     singles = {h: t for h, t in known.items() if not many(h)}
     out = decoded
     if singles:
@@ -262,7 +375,8 @@ def repair(df: DataFrame, key: str = "pos", column: str = "text") -> DataFrame:
     mask = F.regexp_replace("token", NOT_ASCII, LOST)
     pattern = tokens.where(~F.col("token").contains(LOST)).select(mask.alias("mask"), "token", "n")
     wanted = lost_in.select("id", F.posexplode(F.split("restored", f"(?={TOKEN})(?<!{TOKEN[:-1]})|(?<={TOKEN[:-1]})(?!{TOKEN[:-1]})")).alias("at", "mask"))
-    best = pattern.join(wanted.select("mask").distinct(), "mask", "left_semi").groupBy("mask").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
+    asked = wanted.where(F.col("mask").contains(LOST)).select("mask").distinct()
+    best = pattern.join(asked, "mask", "left_semi").groupBy("mask").agg(F.max_by("token", F.struct("n", "token")).alias("token"))
     filled = wanted.join(best, "mask", "left").select("id", F.struct("at", F.coalesce("token", "mask").alias("t")).alias("p"))
     filled = filled.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["t"]), "").alias("filled"))
     out = out.join(filled, "id", "left").withColumn("restored", F.coalesce("filled", "restored"))
