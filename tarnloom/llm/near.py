@@ -4,11 +4,14 @@ that problem 5 shares.
 A record is a vector of bytes over 2^20 positions: each of its words falls on a
 position by hash, and the byte there tells how often it has occurred.  Two
 records with n and m words and a similarity of 0.8 or more share at least
-ceil(0.4 (n + m)) positional bytes, so they also share some of their rarest
-ones.  An inverted index over the rare positional bytes (single rare ones, pairs
-of frequent ones) proposes pairs; a 128-bit tally bounds what a pair can share
-and keeps those that can reach the guaranteed minimum; the rest are verified on
-the words themselves.  The index loses no pair.
+ceil(0.4 (n + m)) positional bytes.  So of the rarest ones, as many as a record can
+lack and k more, they share k.  An inverted index over these proposes pairs: rare
+positional bytes are posted alone, frequent ones in pairs, but only pairs within one
+of k - 1 groups (by hash), since of k shared ones two fall into one group.  k grows
+with the length, so a record of n words has in the order of n postings.  The shared
+positional bytes of each proposed pair are tallied (a 128-bit sketch bounds the tally
+in the join already), pairs that reach the guaranteed minimum are retained, and
+these are verified on the words themselves.  The index loses no pair.
 
 Rarity is counted over all records in a table of 2^20 counters, whatever their
 number.  Records with the same words and content are joined as one.
@@ -31,9 +34,8 @@ from tarnloom.plans.lineage import cut, drop
 POSITIONS = 1 << 20
 #: A positional byte of at most so many records is indexed on its own, others in pairs.
 RARE = 24
-#: Above so many words a record is indexed by single positional bytes only,
-#: since its pairs would grow with the square of its length.
-LONG = 240
+#: Rows of a class that one join key holds when pairs of rows are written out.
+CHUNK = 1000
 
 _INDEX = "key long, rid long, meta int, s0 long, s1 long"
 
@@ -67,6 +69,12 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["at", "n"])
 
 
+def _level(n: np.ndarray) -> np.ndarray:
+    """Groups of frequent positional bytes, as a power of 2, for records of n words:
+    about an eighth of what two such records share."""
+    return np.floor(np.log2(np.maximum(n // 12, 1))).astype(np.int64)
+
+
 def _index_rows(rid: np.ndarray, side: np.ndarray, hashes: pa.Array, freq: np.ndarray) -> list[np.ndarray]:
     row, pos, n = _positional(hashes)
     order = np.lexsort((pos, freq[pos], row))
@@ -81,25 +89,24 @@ def _index_rows(rid: np.ndarray, side: np.ndarray, hashes: pa.Array, freq: np.nd
     for s, x in zip(sig, halves):
         if len(x):
             s[full] = np.bitwise_or.reduceat(x, start[full])
-    keep = n // 3 + 1
-    f, size = freq[pos], n[row]
-    short = (size <= LONG) & (rank <= keep[row])
-    alone = short & (f <= RARE) & (f > 1)
+    f, lost, top = freq[pos], n // 3, _level(n)
+    low = _level(-(-2 * n // 3))  # of the shortest partner
+    alone = (rank < (lost + 2**top + 1)[row]) & (f <= RARE) & (f > 1)
     keys, rows = [pos[alone] | (1 << 40)], [row[alone]]
-    hot = short & (f > RARE)
-    hr, hp = row[hot], pos[hot]
-    step = 1
-    while len(hr) > step:
-        same = hr[step:] == hr[:-step]
-        if not same.any():
-            break
-        keys.append((hp[:-step][same] << 20) | hp[step:][same])
-        rows.append(hr[step:][same])
-        step += 1
-    # records that may pair with a long one: their k rarest, one by one
-    long = (3 * size >= 2 * LONG) & (rank < keep[row]) & (f > 1)
-    keys.append(pos[long] | (1 << 41))
-    rows.append(row[long])
+    for level in range(int(top.max(initial=-1)) + 1):  # a pair meets at the lower level of the two
+        hot = np.flatnonzero((f > RARE) & ((low <= level) & (level <= top))[row] & (rank < (lost + 2**level + 1)[row]))
+        hr, hp = row[hot], pos[hot]
+        group = (_mix(hp.astype(np.uint64) + np.uint64(9)) & np.uint64((1 << level) - 1)).astype(np.int64)
+        close = np.argsort((hr << level) + group, kind="stable")
+        hr, hp, group = hr[close], hp[close], group[close]
+        step = 1
+        while len(hr) > step:
+            same = (hr[step:] == hr[:-step]) & (group[step:] == group[:-step])
+            if not same.any():
+                break
+            keys.append((level << 41) | (hp[:-step][same] << 20) | hp[step:][same])
+            rows.append(hr[step:][same])
+            step += 1
     key, at = np.concatenate(keys), np.concatenate(rows)
     return [key, rid[at], (n[at] * 4 + side[at]).astype(np.int32), sig[0][at].view(np.int64), sig[1][at].view(np.int64)]
 
@@ -148,13 +155,44 @@ def candidates(classes: DataFrame, across: bool = False) -> DataFrame:
     if across:
         sides = lambda p, q: (F.col("x.meta").bitwiseAND(p) > 0) & (F.col("y.meta").bitwiseAND(q) > 0)
         cond = cond & (sides(1, 2) | sides(2, 1))
-    return a.join(b, cond).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    # the index is larger than its input, which the planner does not know: no broadcast
+    return a.join(b.hint("merge"), cond).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        _, pos, n = _positional(b["h"])
+        at = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(pos, pa.int32()))
+        yield pa.RecordBatch.from_arrays([b["rid"], b["spelled"], at], names=["rid", "spelled", "places"])
+
+
+def placed(few: DataFrame) -> DataFrame:
+    """``few(rid, spelled)`` with the positional bytes of each record."""
+    hashed = few.select("rid", "spelled", F.transform(words_spelled(F.col("spelled")), lambda w: F.xxhash64(w)).alias("h"))
+    return hashed.mapInArrow(_places, "rid long, spelled string, places array<int>")
 
 
 def looked_up(pairs: DataFrame, few: DataFrame) -> DataFrame:
-    """``pairs(a, b)`` with the spelling of either side."""
-    text = lambda s: few.select(F.col("rid").alias(s), F.col("spelled").alias(f"spelled_{s}"))
-    return pairs.join(text("a"), "a").join(text("b"), "b")
+    """``pairs(a, b)`` with the other columns of ``few(rid, ...)`` for either side."""
+    side = lambda s: few.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in few.columns if c != "rid"])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame, *keep: str) -> DataFrame:
+    """``(p, q, *keep)``: the rows of either class of ``pairs(a, b, *keep)``, from
+    ``left(rid, p)`` and ``right(rid, q)``.  Classes are cut into chunks of ``CHUNK``
+    rows and the pairs written out per chunk, so that no key holds a large class."""
+
+    def chunks(rows: DataFrame, s: str, value: str) -> tuple[DataFrame, DataFrame]:
+        size = rows.groupBy(F.col("rid").alias(s)).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(f"parts_{s}"))
+        held = rows.withColumnRenamed("rid", s).join(size, s).select(s, F.pmod(F.xxhash64(value), F.col(f"parts_{s}")).cast("int").alias(f"part_{s}"), value)
+        return size, held
+
+    (na, la), (nb, lb) = chunks(left, "a", "p"), chunks(right, "b", "q")
+    cut_up = pairs.select("a", "b", *keep).join(na, "a").join(nb, "b")
+    each = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"parts_{s}") - 1)).alias(f"part_{s}")
+    cut_up = cut_up.select("a", "b", *keep, "parts_b", each("a")).select("a", "part_a", "b", *keep, each("b"))
+    return cut_up.join(la, ["a", "part_a"]).join(lb, ["b", "part_b"]).select("p", "q", *keep)
 
 
 def ends_of(pairs: DataFrame) -> DataFrame:
@@ -162,8 +200,12 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, few: DataFrame) -> DataFrame:
-    """The pairs of different content whose words are similar enough."""
-    met = looked_up(pairs, few).where(key_spelled(F.col("spelled_a")) != key_spelled(F.col("spelled_b")))
+    """The pairs of different content whose words are similar enough: their shared
+    positional bytes are tallied, those that reach the minimum compared word by word."""
+    met = looked_up(pairs, placed(few))
+    both = F.size("places_a") + F.size("places_b")
+    met = met.where(F.size(F.array_intersect("places_a", "places_b")) >= _least_shared(both))
+    met = met.where(key_spelled(F.col("spelled_a")) != key_spelled(F.col("spelled_b")))
     return met.select("a", "b", "spelled_a", "spelled_b").mapInArrow(_verify, "a long, b long")
 
 
@@ -195,9 +237,8 @@ def near_pairs(manifest: DataFrame) -> DataFrame:
     pairs = cut(verified(found, few), "near")
     few = few.join(ends_of(pairs), "rid", "left_semi")
     rows_of = cut(members(rows, few), "members")
-    left = rows_of.select(F.col("rid").alias("a"), F.col("pos").alias("p"))
-    right = rows_of.select(F.col("rid").alias("b"), F.col("pos").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select(F.least("p", "q").alias("pos_a"), F.greatest("p", "q").alias("pos_b"))
+    out = expanded(pairs, rows_of.withColumnRenamed("pos", "p"), rows_of.withColumnRenamed("pos", "q"))
+    return out.select(F.least("p", "q").alias("pos_a"), F.greatest("p", "q").alias("pos_b"))
 
 
 def near_groups(manifest: DataFrame) -> DataFrame:
@@ -208,7 +249,7 @@ def near_groups(manifest: DataFrame) -> DataFrame:
     rows = cut(spelled_rows(manifest), "rows")
     classes = cut(classes_of(rows).withColumn("side", F.lit(0)), "classes")
     found = cut(candidates(classes), "found")
-    pairs = cut(verified(found, classes.join(ends_of(found), "rid", "left_semi")), "near")
+    pairs = cut(verified(found, classes.join(ends_of(found), "rid", "left_semi").select("rid", "spelled")), "near")
     group = group_pairs(pairs, "a", "b", "group_pos", "rid")
     links = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).groupBy("rid").agg(F.count("*").alias("links"))
     named = classes.join(group, "rid", "left").join(links, "rid", "left")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
-from tarnloom.llm.near import candidates, classes_of, ends_of, looked_up, members, spelled_rows, verified
+from tarnloom.llm.near import candidates, classes_of, ends_of, expanded, looked_up, members, spelled_rows, verified
 from tarnloom.llm.norm import key_spelled
 from tarnloom.plans.lineage import cut, drop
 
@@ -52,9 +52,9 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).withColumn("exact", F.lit(False))
     links = cut(same.union(both), "links")
     member = cut(members(rows, few.join(ends_of(links), "rid", "left_semi")).select("rid", "pos", "side"), "members")
-    t = member.where(F.col("side") == TRAIN).select(F.col("rid").alias("a"), F.col("pos").alias("train_pos"))
-    e = member.where(F.col("side") == EVAL).select(F.col("rid").alias("b"), F.col("pos").alias("eval_pos"))
-    return links.join(t, "a").join(e, "b").select("train_pos", "eval_pos", "exact")
+    t = member.where(F.col("side") == TRAIN).select("rid", F.col("pos").alias("p"))
+    e = member.where(F.col("side") == EVAL).select("rid", F.col("pos").alias("q"))
+    return expanded(links, t, e, "exact").select(F.col("p").alias("train_pos"), F.col("q").alias("eval_pos"), "exact")
 
 
 def overlap_pairs(manifest: DataFrame, clip_jobs: DataFrame) -> DataFrame:

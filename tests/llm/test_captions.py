@@ -140,7 +140,6 @@ def near_want(kept):
 @pytest.mark.parametrize("rare,long", [(24, 240), (1, 240), (10**6, 240), (2, 12)])
 def test_near_pairs(spark, table, monkeypatch, rare, long):
     monkeypatch.setattr(near, "RARE", rare)
-    monkeypatch.setattr(near, "LONG", long)
     rows, kept = table
     assert pairs(near.near_pairs(manifest(spark, rows, extra=True)), "pos_a", "pos_b") == near_want(kept)
 
