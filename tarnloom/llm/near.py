@@ -204,7 +204,8 @@ def verified(pairs: DataFrame, few: DataFrame) -> DataFrame:
     positional bytes are tallied, those that reach the minimum compared word by word."""
     met = looked_up(pairs, placed(few))
     both = F.size("places_a") + F.size("places_b")
-    met = met.where(F.size(F.array_intersect("places_a", "places_b")) >= _least_shared(both))
+    again = F.least(*[F.size(f"places_{s}") - F.size(F.array_distinct(f"places_{s}")) for s in "ab"])  # places taken twice may be shared twice
+    met = met.where(F.size(F.array_intersect("places_a", "places_b")) + again >= _least_shared(both))
     met = met.where(key_spelled(F.col("spelled_a")) != key_spelled(F.col("spelled_b")))
     return met.select("a", "b", "spelled_a", "spelled_b").mapInArrow(_verify, "a long, b long")
 
