@@ -10,24 +10,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tarnloom.llm.near import expanded
 from tarnloom.llm.norm import captions, display, look_alike_mapped
-from tarnloom.plans.lineage import cut
+from tarnloom.plans.lineage import cut, drop
 
 
-def _classes(texts: DataFrame) -> DataFrame:
-    """``(text, shown, canonical)`` for distinct ``texts(text)``."""
-    mapped = texts.select("text", look_alike_mapped(F.col("text")).alias("mapped"), display(F.col("text")).alias("shown"))
+def _classes(texts: DataFrame, least: int = 1) -> DataFrame:
+    """``texts(text, ...)``, distinct, with ``shown`` and the ``canonical`` member of
+    their class; only classes of at least ``least`` texts."""
+    mapped = texts.select("*", look_alike_mapped(F.col("text")).alias("mapped"), display(F.col("text")).alias("shown"))
     return mapped.sparkSession.sql(
         """
         WITH named AS (
           SELECT collate(mapped, 'UNICODE') AS class, min(shown) AS canonical
-          FROM {mapped} GROUP BY collate(mapped, 'UNICODE')
+          FROM {mapped} GROUP BY collate(mapped, 'UNICODE') HAVING count(*) >= {least}
         )
-        SELECT m.text, m.shown, n.canonical
+        SELECT m.*, n.canonical
         FROM {mapped} m JOIN named n ON collate(m.mapped, 'UNICODE') = n.class
         """,
         mapped=mapped,
-    )
+        least=least,
+    ).drop("mapped")
 
 
 def unify(df: DataFrame, column: str = "text", out: str = "canonical") -> DataFrame:
@@ -44,12 +47,13 @@ def look_alike_pairs(manifest: DataFrame) -> DataFrame:
 
     Only distinct strings are compared; rows of one string come in by a join, so
     a string that many rows share is no group to be paired with itself."""
-    rows = cut(captions(manifest).select("pos", "text"), "captions")
-    named = cut(_classes(rows.select("text").distinct()), "classes")
-    # an exact check follows the collation, which also ignores control characters
-    several = named.groupBy("canonical", "shown").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    variants = named.join(several, ["canonical", "shown"]).select("shown", "text")
-    held = cut(rows.join(variants, "text").select("shown", "text", "pos"), "variants")
-    a = held.select("shown", F.col("text").alias("ta"), F.col("pos").alias("pa"))
-    b = held.select("shown", F.col("text").alias("tb"), F.col("pos").alias("pb"))
-    return a.join(b, "shown").where(F.col("ta") < F.col("tb")).select(F.least("pa", "pb").alias("pos_a"), F.greatest("pa", "pb").alias("pos_b"))
+    rows = captions(manifest).select("pos", "text")
+    texts = cut(rows.groupBy("text").agg(F.min("pos").alias("rid")), "texts")
+    named = cut(_classes(texts, least=2), "variants")
+    drop(texts)
+    side = lambda s: named.select("canonical", F.col("rid").alias(s), F.col("shown").alias(f"shown_{s}"))
+    # the class proposes; an exact check follows the collation, which also ignores control characters
+    pairs = side("a").join(side("b"), "canonical").where("a < b AND shown_a = shown_b").select("a", "b")
+    member = cut(rows.join(named.select("text", "rid"), "text").select("rid", "pos"), "members")
+    out = expanded(pairs, member.withColumnRenamed("pos", "p"), member.withColumnRenamed("pos", "q"))
+    return out.select(F.least("p", "q").alias("pos_a"), F.greatest("p", "q").alias("pos_b"))
