@@ -27,7 +27,7 @@ def _squeeze(c: str) -> str:
 
 
 _FIELDS = r"list_filter(string_split_regex(lower(shown), '[|;]'), lambda p: regexp_matches(p, '[\p{L}\p{N}]'))"
-_PAIR = f"{_squeeze('string_split(p, chr(58))[1]')} || ':' || {_squeeze(chr(114) + 'egexp_replace(p, ' + chr(39) + '^[^:]*:' + chr(39) + ', ' + chr(39) * 2 + ')')}"
+_PAIR = _squeeze("string_split(p, ':')[1]") + " || ':' || " + _squeeze("regexp_replace(p, '^[^:]*:', '')")
 #: caption rows of six or more words with display form, words and content key
 CAPTIONS = rf"""shown AS (SELECT pos, text, {_DISPLAY} AS shown FROM manifest WHERE text IS NOT NULL AND pos IS NOT NULL),
   worded AS (SELECT pos, text, shown, {_words('shown')} AS words, {_FIELDS} AS fields FROM shown),
@@ -53,7 +53,8 @@ _CROSS = f"""WITH {CAPTIONS}, {NEAR}, {_SIDES},
   crossed AS (SELECT x, y, exact, s.split AS sx, t.split AS sy FROM alike JOIN sides s ON s.pos = x JOIN sides t ON t.pos = y WHERE (s.split = 'train') <> (t.split = 'train'))"""
 
 _PLAIN = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'))"
-_TEN = f"""d AS (SELECT doc_id, string_split({_PLAIN}, ' ') AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, string_split({_PLAIN}, ' ') AS w FROM eval_items WHERE text <> ''),
+_SPLIT = f"d AS (SELECT doc_id, string_split({_PLAIN}, ' ') AS w FROM documents WHERE text <> ''), i AS (SELECT item_id, string_split({_PLAIN}, ' ') AS w FROM eval_items WHERE text <> '')"
+_TEN = f"""{_SPLIT},
   dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM d WHERE len(w) >= 10),
   ig AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k:k + 9], ' '))) AS g FROM i WHERE len(w) >= 10)"""
 
@@ -76,6 +77,12 @@ ORACLE: dict[str, str] = {
     "p6_found": f"WITH {CAPTIONS} SELECT a.pos AS pos_a, b.pos AS pos_b FROM captions a JOIN captions b ON a.shown = b.shown AND a.text <> b.text AND a.pos < b.pos",
     "p7_found": f"WITH RECURSIVE {_LINKS} SELECT min(seen) AS group_vid, node AS vid FROM r GROUP BY node",
     "p9_found": f"WITH {_TEN} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p9_leaked": f"""WITH {_SPLIT},
+      dk AS (SELECT doc_id, k, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d WHERE len(w) >= 10)),
+      ik AS (SELECT item_id, j, array_to_string(w[j:j + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS j FROM i WHERE len(w) >= 10)),
+      runs AS (SELECT doc_id, item_id, k - j AS diagonal, k - row_number() OVER (PARTITION BY doc_id, item_id, k - j ORDER BY k) AS run FROM dk JOIN ik USING (g)),
+      most AS (SELECT doc_id, item_id, 9 + max(n) AS words FROM (SELECT doc_id, item_id, diagonal, run, count(*) AS n FROM runs GROUP BY ALL) GROUP BY ALL)
+      SELECT item_id, count(*) AS documents, max(words)::INT AS most_words FROM most GROUP BY item_id""",
     "p10_found": f"WITH {_SPANS} SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM hit a JOIN hit b ON a.s = b.s AND a.doc_id < b.doc_id",
     "p10_coverage": f"""WITH {_SPANS}, c AS (SELECT doc_id, k, k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) AS step FROM hit),
       t AS (SELECT doc_id, sum(CASE WHEN step IS NULL THEN 200 ELSE least(step, 200) END)::BIGINT AS shared_chars FROM c GROUP BY 1)
