@@ -28,9 +28,9 @@ LEAST = 200
 #: Length of an anchor; a power of 2 below LEAST.
 K = 128
 #: Different windows of one anchor that a task indexes or streams at once.
-BLOCK = 500
-#: Windows per shard, about: 300 KB of text.
-SHARD = 1000
+BLOCK = 250
+#: Windows per shard, about: 150 KB of text.
+SHARD = 500
 
 
 def anchors(text: str, k: int = K, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ class FMIndex:
         key, width = sym, 1
         rank = np.empty(n, np.int64)
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             s = key[order]
             rank[order] = np.concatenate(([0], np.cumsum(s[1:] != s[:-1])))
             if width >= longest or rank[order[-1]] == n - 1:
@@ -152,28 +152,52 @@ class FMIndex:
     def matches(self, queries: list[tuple[str, int]], least: int, alone: int) -> Iterator[tuple[int, int, int, int]]:
         """``(query, end, window, start)``: for each query text, each end at which
         the ``least`` characters before it also stand in a window, the window and
-        their place in it.  Queries come with the first end to be looked at; an
+        their place in it.  Queries come with the first end to be looked at.  Ends are
+        searched in strides, the statistics of one carried to those after it; an
         interval of ``alone`` occurrences or fewer is given up (1 if the queries
         themselves are indexed, else 0)."""
         sym = [self.symbols(t) for t, _ in queries]
         base = np.concatenate(([0], np.cumsum([len(s) for s in sym])))
         flat = np.concatenate(sym)
-        q = np.concatenate([np.full(max(0, len(s) - e + 1), k) for k, (s, (_, e)) in enumerate(zip(sym, queries))])
-        end = np.concatenate([np.arange(e, len(s) + 1) for s, (_, e) in zip(sym, queries)])
-        lo, hi = np.zeros(len(q), np.int64), np.full(len(q), self.n, np.int64)
+        many = np.array([max(0, len(s) - e + 1) for s, (_, e) in zip(sym, queries)])
+        q = np.repeat(np.arange(len(queries)), many)
+        first = np.cumsum(many) - many
+        nth = np.arange(len(q)) - first[q]
+        end, last = nth + np.array([e for _, e in queries])[q], (first + many - 1)[q]
+        done = np.zeros(len(q), bool)
+        for stride in (16, 4, 1):
+            at = np.flatnonzero(~done & (nth % stride == 0))
+            steps, lo, hi = self._search(flat, base[q[at]] + end[at], least, alone)
+            done[at] = True
+            # what occurs nowhere else ends later searches that hold it: a search that gave
+            # up after k characters rules out the next ``least`` - k ends
+            lost = steps <= least
+            ruled = np.zeros(len(q) + 1, np.int64)
+            np.add.at(ruled, at[lost], 1)
+            np.add.at(ruled, np.minimum(at[lost] + least - steps[lost], last[at[lost]]) + 1, -1)
+            done |= np.cumsum(ruled[:-1]) > 0
+            at, lo, count = at[~lost], lo[~lost], (hi - lo)[~lost]
+            entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            place = self.order[entry]
+            window = np.searchsorted(self.starts, place, "right") - 1
+            yield from zip(np.repeat(q[at], count).tolist(), np.repeat(end[at], count).tolist(), window.tolist(), (place - self.starts[window]).tolist())
+
+    def _search(self, flat: np.ndarray, end: np.ndarray, least: int, alone: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Backward searches from the places ``end`` of ``flat``: after how many characters
+        ``alone`` or fewer occurrences were left (``least`` + 1: never), and the intervals."""
+        steps = np.full(len(end), least + 1)
+        lo, hi = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
+        live = np.arange(len(end))
         for step in range(1, least + 1):
-            c = flat[base[q] + end - step]
-            lo, hi = self.extend(c, lo, hi)
-            keep = (hi - lo > alone) & (c > 0)
+            c = flat[end[live] - step]
+            lo[live], hi[live] = self.extend(c, lo[live], hi[live])
+            keep = (hi[live] - lo[live] > alone) & (c > 0)
             if not keep.all():
-                q, end, lo, hi = q[keep], end[keep], lo[keep], hi[keep]
-            if not len(q):
-                return
-        count = hi - lo
-        entry = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        place = self.order[entry]
-        window = np.searchsorted(self.starts, place, "right") - 1
-        yield from zip(np.repeat(q, count).tolist(), np.repeat(end, count).tolist(), window.tolist(), (place - self.starts[window]).tolist())
+                steps[live[~keep]] = step
+                live = live[keep]
+            if not len(live):
+                break
+        return steps, lo, hi
 
 
 def _shard(table: pa.Table) -> pa.Table:
@@ -253,7 +277,8 @@ def _between(kinds: DataFrame) -> DataFrame:
     # block i is indexed for every j >= i, block j streamed through every i <= j
     index = big.withColumn("j", F.explode(F.sequence("block", F.col("blocks") - 1))).select("wid", "win", F.col("h").alias("s"), (F.col("block") + 1).alias("i"), (F.col("j") + 1).alias("j"), F.lit(True).alias("indexed"), (F.col("j") == F.col("block")).alias("streamed"))
     stream = big.where("block > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("block") - 1))).select("wid", "win", F.col("h").alias("s"), (F.col("i") + 1).alias("i"), (F.col("block") + 1).alias("j"), F.lit(False).alias("indexed"), F.lit(True).alias("streamed"))
-    tasks = small.union(index).union(stream).repartition(min(4 * shards, 20_000), "s", "i", "j")
+    # about one shard a partition; their number grows with the shards
+    tasks = small.union(index).union(stream).repartition(4 * shards, "s", "i", "j")
     return tasks.groupBy("s", "i", "j").applyInArrow(_shard, "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int")
 
 
