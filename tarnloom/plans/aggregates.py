@@ -334,16 +334,62 @@ def _pairs(g: DataFrame) -> DataFrame:
     return g.where(F.col("reference").isNotNull() & F.col("hypothesis").isNotNull()).select("global_step", source().alias("source"), "reference", "hypothesis")
 
 
-query("a31_wer", "gen_samples")(lambda g: M.wer(_pairs(g), ["source"]))
-query("a32_rouge_l", "gen_samples")(lambda g: M.rouge_l(_pairs(g), ["source"]))
+_GIVEN_SQL = f"pairs AS (SELECT {SOURCE_SQL} AS source, reference, hypothesis FROM gen_samples WHERE reference IS NOT NULL AND hypothesis IS NOT NULL)"
+_LISTS_SQL = f"""{_GIVEN_SQL}, l AS (SELECT source, list_filter(string_split_regex(__reference__, '[{WS_SQL}]+'), lambda w: w <> '') AS r, list_filter(string_split_regex(__hypothesis__, '[{WS_SQL}]+'), lambda w: w <> '') AS h FROM pairs),
+  u AS (SELECT *, list_distinct(r || h) AS w FROM l), c AS (SELECT *, list_transform(r, lambda x: list_position(w, x)) AS a, list_transform(h, lambda x: list_position(w, x)) AS b FROM u)"""
+_PLAIN_SQL = _LISTS_SQL.replace("__reference__", "reference").replace("__hypothesis__", "hypothesis")
+_LOWER_SQL = _LISTS_SQL.replace("__reference__", "lower(reference)").replace("__hypothesis__", "lower(hypothesis)")
+query(
+    "a31_wer", "gen_samples",
+    sql=f"""WITH {_PLAIN_SQL}, e AS (SELECT source, levenshtein(array_to_string(list_transform(a, lambda x: chr(x::INT)), ''), array_to_string(list_transform(b, lambda x: chr(x::INT)), '')) AS e, greatest(len(a), 1) AS n FROM c)
+      SELECT source, sum(e)::BIGINT AS edits, sum(n)::BIGINT AS words, round(100.0 * sum(e) / sum(n), 4) AS wer FROM e GROUP BY source""",
+)(lambda g: M.wer(_pairs(g), ["source"]))
+query(
+    "a32_rouge_l", "gen_samples",
+    sql=f"""WITH {_LOWER_SQL}, s AS (SELECT source, {lcs_sql('a', 'b')} AS l, len(a) + len(b) AS n FROM c)
+      SELECT source, count(*) AS pairs, round(100.0 * avg(CASE WHEN l > 0 THEN 2.0 * l / n ELSE 0.0 END), 4) AS rouge_l FROM s GROUP BY source""",
+)(lambda g: M.rouge_l(_pairs(g), ["source"]))
+
+
+def _bleu_sql(order: int, smoothed: bool) -> str:
+    """Clipped n-gram matches of 13a tokens per pair, summed per source."""
+    tokens = "__c__"
+    for old, new in (("<skipped>", ""), ("-' || chr(10) || '", ""), ("' || chr(10) || '", " "), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        tokens = f"replace({tokens}, '{old}', '{new}')"
+    tokens = f"' ' || {tokens} || ' '"
+    for pattern, new in ((r"([\{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        tokens = f"regexp_replace({tokens}, '{pattern}', '{new}', 'g')"
+    tokens = f"list_filter(string_split_regex({tokens}, '[{WS_SQL}]+'), lambda w: w <> '')"
+    grams = lambda c: f"list_transform(range(1, len({c}) - n + 2), lambda i: array_to_string({c}[i:i + n - 1], ' '))"
+    zero = f"max(CASE WHEN z > 0 OR total = 0 THEN 1 ELSE 0 END) = 1 OR count(*) < {order} OR" if not smoothed else ""
+    return f"""WITH {_GIVEN_SQL}, t AS (SELECT row_number() OVER () AS id, source, {tokens.replace('__c__', 'reference')} AS r, {tokens.replace('__c__', 'hypothesis')} AS h FROM pairs),
+      o AS (SELECT id, source, r, h, unnest(range(1, {order + 1})) AS n FROM t),
+      x AS (SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest({grams('r')}) AS g FROM o) GROUP BY ALL), y AS (SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest({grams('h')}) AS g FROM o) GROUP BY ALL),
+      m AS (SELECT id, n, sum(least(x.k, y.k)) AS hit FROM x JOIN y USING (id, n, g) GROUP BY ALL),
+      s AS (SELECT source, n, coalesce(sum(hit), 0)::DOUBLE AS hit, sum(greatest(len(h) - n + 1, 0))::DOUBLE AS total FROM o LEFT JOIN m USING (id, n) GROUP BY ALL),
+      z AS (SELECT *, sum(CASE WHEN hit = 0 AND total > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY n) AS zeros, CASE WHEN hit = 0 AND total > 0 THEN 1 ELSE 0 END AS z FROM s),
+      p AS (SELECT source, exp(sum(CASE WHEN total > 0 THEN ln(CASE WHEN hit > 0 THEN hit / total ELSE 1 / (2.0 ** zeros * total) END) ELSE 0 END) / greatest(sum((total > 0)::INT), 1)) AS mean,
+          {zero} max(CASE WHEN n = 1 THEN hit END) = 0 AS none FROM z GROUP BY source),
+      b AS (SELECT source, sum(len(r))::DOUBLE AS nr, sum(len(h))::DOUBLE AS nh FROM t GROUP BY source)
+      SELECT p.source, round(CASE WHEN none OR nh = 0 THEN 0.0 ELSE 100.0 * mean * CASE WHEN nh >= nr THEN 1.0 ELSE exp(1.0 - nr / nh) END END, 4) AS bleu FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source"""
+
+
+_CHRF_SQL = f"""WITH {_GIVEN_SQL}, t AS (SELECT row_number() OVER () AS id, source, regexp_replace(reference, '[{WS_SQL}]+', '', 'g') AS r, regexp_replace(hypothesis, '[{WS_SQL}]+', '', 'g') AS h FROM pairs),
+  o AS (SELECT id, source, r, h, unnest(range(1, 7)) AS n FROM t),
+  x AS (SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest(list_transform(range(1, length(r) - n + 2), lambda i: substring(r, i, n))) AS g FROM o) GROUP BY ALL),
+  y AS (SELECT id, n, g, count(*) AS k FROM (SELECT id, n, unnest(list_transform(range(1, length(h) - n + 2), lambda i: substring(h, i, n))) AS g FROM o) GROUP BY ALL),
+  m AS (SELECT id, n, sum(least(x.k, y.k)) AS hit FROM x JOIN y USING (id, n, g) GROUP BY ALL),
+  s AS (SELECT source, n, coalesce(sum(hit), 0)::DOUBLE AS hit, sum(greatest(length(r) - n + 1, 0))::DOUBLE AS nr, sum(greatest(length(h) - n + 1, 0))::DOUBLE AS nh FROM o LEFT JOIN m USING (id, n) GROUP BY ALL),
+  a AS (SELECT source, coalesce(avg(hit / nh) FILTER (WHERE nh > 0 AND nr > 0), 0) AS p, coalesce(avg(hit / nr) FILTER (WHERE nh > 0 AND nr > 0), 0) AS r FROM s GROUP BY source)
+  SELECT source, round(CASE WHEN p + r > 0 THEN 100.0 * 5 * p * r / (4 * p + r) ELSE 0.0 END, 4) AS chrf FROM a"""
 _GRAM_SQL = f"""WITH w AS (SELECT list_filter(string_split_regex(lower(hypothesis), '[{WS_SQL}]+'), lambda w: w <> '') AS w FROM gen_samples WHERE reference IS NOT NULL AND hypothesis IS NOT NULL),
   g AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM w)
   SELECT count(DISTINCT x) AS unique_grams, count(*) AS grams, round(count(DISTINCT x)::DOUBLE / count(*), 6) AS distinct_n FROM g"""
 query("a33_distinct_2", "gen_samples", sql=_GRAM_SQL)(lambda g: M.distinct_n(_pairs(g), 2))
-query("a34_bleu", "gen_samples")(lambda g: M.bleu(_pairs(g), ["source"]))
-query("a34_bleu_2", "gen_samples")(lambda g: M.bleu(_pairs(g), ["source"], 2))
-query("a35_bleu_unsmoothed", "gen_samples")(lambda g: M.bleu(_pairs(g), ["source"], 2, smoothed=False))
-query("a36_chrf", "gen_samples")(lambda g: M.chrf(_pairs(g), ["source"]))
+query("a34_bleu", "gen_samples", sql=_bleu_sql(4, True))(lambda g: M.bleu(_pairs(g), ["source"]))
+query("a34_bleu_2", "gen_samples", sql=_bleu_sql(2, True))(lambda g: M.bleu(_pairs(g), ["source"], 2))
+query("a35_bleu_unsmoothed", "gen_samples", sql=_bleu_sql(2, False))(lambda g: M.bleu(_pairs(g), ["source"], 2, smoothed=False))
+query("a36_chrf", "gen_samples", sql=_CHRF_SQL)(lambda g: M.chrf(_pairs(g), ["source"]))
 def _words(c: str) -> str:
     return f"len(list_filter(string_split_regex({c}, '[{WS_SQL}]+'), lambda w: w <> ''))"
 

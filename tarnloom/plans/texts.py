@@ -153,22 +153,54 @@ def space_runs(m: DataFrame) -> DataFrame:
     return hit.select("pos", F.size("r").cast("long").alias("runs"), F.array_max(F.transform("r", F.length)).cast("long").alias("longest"))
 
 
-@query("t30_indel_ratio", "gen_samples")
+def _at():
+    return F.unix_micros(F.col("logged_at").cast("timestamp")).alias("t")
+
+
+_SIDES_SQL = f"""sides AS (SELECT *, list_filter(string_split_regex(coalesce(reference, ''), '[{WS_SQL}]+'), lambda w: w <> '') AS r,
+  list_filter(string_split_regex(coalesce(hypothesis, ''), '[{WS_SQL}]+'), lambda w: w <> '') AS h FROM gen_samples)"""
+
+
+def lcs_sql(a: str, b: str) -> str:
+    """The length of the longest common subsequence of two lists of integers: a row of
+    the table per element of the first, whose greatest values so far are the next row."""
+    step = f"list_transform(range(1, len({b}) + 1), lambda j: CASE WHEN ({b})[j] = x[1] THEN (CASE WHEN j > 1 THEN s[j - 1] ELSE 0 END) + 1 ELSE s[j] END)"
+    best = f"list_transform(range(1, len({b}) + 1), lambda k: list_max(({step})[1:k]))"
+    return f"CASE WHEN len({b}) = 0 THEN 0 ELSE coalesce(list_max(list_reduce(list_transform({a}, lambda e: [e::BIGINT]), lambda s, x: {best}, list_transform({b}, lambda e: 0::BIGINT))), 0) END"
+
+
+@query(
+    "t30_indel_ratio", "gen_samples",
+    sql=f"""WITH c AS (SELECT logged_at, reference, hypothesis, list_transform(string_split(reference, ''), lambda x: unicode(x)) AS a, list_transform(string_split(hypothesis, ''), lambda x: unicode(x)) AS b
+        FROM gen_samples WHERE reference IS NOT NULL AND hypothesis IS NOT NULL),
+      k AS (SELECT *, length(reference) + length(hypothesis) AS n FROM c)
+      SELECT epoch_us(logged_at) AS t, reference, hypothesis, CASE WHEN n = 0 THEN 100.0 WHEN reference = '' OR hypothesis = '' THEN 0.0 ELSE round(200.0 * {lcs_sql('a', 'b')} / n, 4) END AS score FROM k""",
+)
 def indel_ratios(g: DataFrame) -> DataFrame:
     ok = g.where(F.col("reference").isNotNull() & F.col("hypothesis").isNotNull())
-    return ok.select("logged_at", "reference", "hypothesis", F.round(indel_ratio_udf("reference", "hypothesis"), 4).alias("score"))
+    return ok.select(_at(), "reference", "hypothesis", F.round(indel_ratio_udf("reference", "hypothesis"), 4).alias("score"))
+
 
+# the words of a pair as single ASCII characters, for DuckDB's levenshtein
+_CODED_SQL = f"""{_SIDES_SQL}, u AS (SELECT *, list_distinct(r || h) AS w FROM sides),
+  coded AS (SELECT *, array_to_string(list_transform(r, lambda x: chr(list_position(w, x)::INT)), '') AS rc, array_to_string(list_transform(h, lambda x: chr(list_position(w, x)::INT)), '') AS hc FROM u)"""
 
-@query("t31_word_edits", "gen_samples")
+
+@query("t31_word_edits", "gen_samples", sql=f"WITH {_CODED_SQL} SELECT epoch_us(logged_at) AS t, reference, hypothesis, levenshtein(rc, hc)::INT AS edits FROM coded")
 def word_edit_counts(g: DataFrame) -> DataFrame:
     a, b = T.space_words(F.col("reference")), T.space_words(F.col("hypothesis"))
-    return g.select("logged_at", "reference", "hypothesis", word_edits(a, b).alias("edits"))
+    return g.select(_at(), "reference", "hypothesis", word_edits(a, b).alias("edits"))
 
 
-@query("t32_word_lcs", "gen_samples")
+@query(
+    "t32_word_lcs", "gen_samples",
+    sql=f"""WITH {_SIDES_SQL}, u AS (SELECT *, list_distinct(r || h) AS w FROM sides),
+      c AS (SELECT *, list_transform(r, lambda x: list_position(w, x)) AS a, list_transform(h, lambda x: list_position(w, x)) AS b FROM u)
+      SELECT epoch_us(logged_at) AS t, reference, hypothesis, ({lcs_sql('a', 'b')})::INT AS lcs FROM c""",
+)
 def word_lcs_lengths(g: DataFrame) -> DataFrame:
     a, b = T.space_words(F.col("reference")), T.space_words(F.col("hypothesis"))
-    return g.select("logged_at", "reference", "hypothesis", word_lcs(a, b).alias("lcs"))
+    return g.select(_at(), "reference", "hypothesis", word_lcs(a, b).alias("lcs"))
 
 
 @query(
