@@ -9,6 +9,7 @@ from tarnloom.functions.ids import canonical_source, canonical_split, canonical_
 from tarnloom.operators import metrics as M, profile as P
 from tarnloom.plans.filters import WPS_SQL
 from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, WS_SQL, norm_sql, query, vid_sql
+from tarnloom.plans.texts import lcs_sql
 
 
 def split() -> Column:
