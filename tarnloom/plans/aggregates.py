@@ -8,8 +8,8 @@ from tarnloom.functions import scalars as S, text as T
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
 from tarnloom.operators import metrics as M, profile as P
 from tarnloom.plans.filters import WPS_SQL
-from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, WS_SQL, norm_sql, query, vid_sql
-from tarnloom.plans.texts import lcs_sql
+from tarnloom.plans.registry import ORACLE, SOURCE_SQL, SPLIT_SQL, WS_SQL, norm_sql, query, vid_sql
+from tarnloom.plans.texts import PIPELINE_SQL, fix_pipeline, lcs_sql
 
 
 def split() -> Column:
@@ -320,11 +320,12 @@ def balance(m: DataFrame) -> DataFrame:
     return wide.unpivot([], names[1:], "split", "delta").where("delta IS NOT NULL")
 
 
-@query("a30_fix_counts", "manifest")
+@query(
+    "a30_fix_counts", "manifest",
+    sql=f"WITH {PIPELINE_SQL}, e AS (SELECT pos, unnest(fired) AS fix FROM fixes) SELECT fix, count(*) AS n, list_sort(list(pos))[1:5] AS first_rows FROM e GROUP BY fix",
+)
 def fix_counts(m: DataFrame) -> DataFrame:
     """How often each fix fired, with the first five rows."""
-    from tarnloom.plans.texts import fix_pipeline
-
     fired = fix_pipeline(m).select("pos", F.explode("fired").alias("fix"))
     n = fired.groupBy("fix").agg(F.count("*").alias("n"))
     first = fired.withColumn("k", F.row_number().over(W.partitionBy("fix").orderBy("pos"))).where("k <= 5").groupBy("fix").agg(F.array_sort(F.collect_list("pos")).alias("first_rows"))
@@ -402,7 +403,17 @@ query(
 )(lambda g: M.length_stats(_pairs(g), ["source"]))
 
 
-@query("a39_metric_panel", "gen_samples")
+def _panel_sql() -> str:
+    """The twins of the single metrics over the pairs of each source and all pairs."""
+    both = f"{_GIVEN_SQL.replace('pairs AS', 'given AS')}, pairs AS (SELECT * FROM given WHERE source IS NOT NULL UNION ALL SELECT 'overall', reference, hypothesis FROM given)"
+    part = lambda name: ORACLE[name].replace(_GIVEN_SQL, both)
+    lengths = ORACLE["a38_length_stats"].replace(f"{SOURCE_SQL} AS source", "source").replace("FROM gen_samples WHERE reference IS NOT NULL AND hypothesis IS NOT NULL", "FROM pairs").replace("WITH n AS", f"WITH {both}, n AS")
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("wer", "pairs", "rouge_l", "bleu", "chrf", "mean_ref", "mean_hyp", "ratio", "median_hyp"))
+    return f"""SELECT source, {zero} FROM (SELECT unnest(['overall', 'openasl', 'how2sign']) AS source) LEFT JOIN ({part('a31_wer')}) USING (source) LEFT JOIN ({part('a32_rouge_l')}) USING (source)
+      LEFT JOIN ({part('a34_bleu')}) USING (source) LEFT JOIN ({part('a36_chrf')}) USING (source) LEFT JOIN ({lengths}) USING (source)"""
+
+
+@query("a39_metric_panel", "gen_samples", sql=_panel_sql())
 def metric_panel(g: DataFrame, sources: tuple[str, ...] = ("openasl", "how2sign")) -> DataFrame:
     """All metrics overall and per source; a source without pairs has zeros."""
     p = _pairs(g)

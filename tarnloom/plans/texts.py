@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import unicodedata
 
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql.types import StringType
 from tarnloom.functions import text as T
 from tarnloom.functions.ids import canonical_split
 from tarnloom.functions.kernels import indel_ratio_udf, word_edits, word_lcs
-from tarnloom.plans.registry import SPLIT_SQL, WS_SQL, norm_sql, query
+from tarnloom.plans.registry import ORACLE, SPLIT_SQL, WS_SQL, norm_sql, query
 
 
 def _texts(m: DataFrame) -> DataFrame:
@@ -29,7 +31,29 @@ _column("t01_normalised", norm_sql(), T.normalised, "norm")
 _column("t02_letter_words", "regexp_extract_all(lower(text), '[a-z'']+')", T.letter_words, "words")
 _column("t03_space_words", f"list_filter(string_split_regex(text, '[{WS_SQL}]+'), lambda w: w <> '')", T.space_words, "words")
 _column("t04_without_non_ascii", r"regexp_replace(text, '[^\x00-\x7F]', '', 'g')", T.without_non_ascii)
-_column("t05_entities", None, T.decoded_entities)
+
+
+def _entities_sql(c: str) -> tuple[str, str]:
+    """Character references decoded by HTML's rules, from the standard library's own
+    tables: numbers, exact names, else the longest name that begins it.  Two tables of one
+    row, and the expression over them."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'" if "\0" not in t else "''"
+    table = lambda d: f"map([{', '.join(quoted(k) if isinstance(k, str) else str(k) for k in d)}], [{', '.join(map(quoted, d.values()))}])"
+    names = "entity_names.m"
+    number = "CASE WHEN regexp_matches(p, '^&#[xX]') THEN ('0x' || regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1))::BIGINT ELSE regexp_extract(p, '^&#([0-9]+)', 1)::BIGINT END"
+    longest = f"list_max(list_filter(range(2, length(p)), lambda k: {names}[p[2:k]] IS NOT NULL))"
+    piece = f"""CASE WHEN regexp_matches(p, '^&#([0-9]|[xX][0-9a-fA-F])') THEN coalesce(entity_numbers.m[{number}],
+        CASE WHEN {number} BETWEEN 55296 AND 57343 OR {number} > 1114111 THEN chr(65533) ELSE chr(({number})::INT) END)
+      WHEN p[1] = '&' AND length(p) > 1 THEN coalesce({names}[p[2:]], {names}[p[2:{longest}]] || p[{longest} + 1:], p) ELSE p END"""
+    pieces = rf"regexp_extract_all({c}, '&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[^\t\n\x0C <&#;]{{1,32}};?|(?s).')"
+    tables = f"entity_names AS (SELECT {table(html.entities.html5)} AS m), entity_numbers AS (SELECT {table(html._invalid_charrefs | {n: '' for n in html._invalid_codepoints - set(html._invalid_charrefs)})} AS m)"
+    return tables, f"CASE WHEN contains({c}, '&') THEN array_to_string(list_transform({pieces}, lambda p: {piece}), '') ELSE {c} END"
+
+
+_ENTITY_TABLES, _F2 = _entities_sql("text")
+query("t05_entities", "manifest", sql=f"WITH {_ENTITY_TABLES} SELECT pos, {_F2} AS fixed FROM manifest, entity_names, entity_numbers WHERE text IS NOT NULL")(
+    lambda m: _texts(m).select("pos", T.decoded_entities(F.col("text")).alias("fixed"))
+)
 _column("t06_straight_quotes", "translate(text, '‘’“”‚„', '''''\"\"''\"')", T.straight_quotes)
 _column(
     "t07_escaped_quotes",
@@ -52,19 +76,6 @@ _column("t34_display_cut", "substring(text, 1, 80)", lambda c: F.substring(c, 1,
 _column("t36_length", f"length(regexp_replace(text, '^[{WS_SQL}]+|[{WS_SQL}]+$', '', 'g'))", lambda c: F.length(T.edge_stripped(c)), "chars")
 
 
-@query("t13_fix_pipeline", "manifest")
-def fix_pipeline(m: DataFrame) -> DataFrame:
-    """``(pos, fixed, fired, modified)``: the fixes in order, with the names of
-    those that changed the text.  Texts without a letter are removed, by their
-    original form; the final tidying is no fix, but counts as a modification."""
-    df = _texts(m).where(T.has_letters(F.col("text"))).select("pos", "text", F.col("text").alias("s0"))
-    for i, (_, fix) in enumerate(T.FIXES):
-        df = df.withColumn(f"s{i + 1}", fix(F.col(f"s{i}")))
-    fired = F.array_compact(F.array(*[F.when(F.col(f"s{i + 1}") != F.col(f"s{i}"), name) for i, (name, _) in enumerate(T.FIXES)]))
-    done = T.tidied(F.col(f"s{len(T.FIXES)}"))
-    return df.select("pos", done.alias("fixed"), fired.alias("fired"), (done != F.col("text")).alias("modified"))
-
-
 _CHECK_SQL = {
     "01_non_ascii": r"regexp_matches(text, '[^\x00-\x7F]')",
     "02_html_entities": r"regexp_matches(text, '&(?:[A-Za-z][A-Za-z0-9]*|#\d+|#x[0-9A-Fa-f]+);')",
@@ -109,6 +120,44 @@ query("t11_unpaired_removed", "manifest", sql=f"""SELECT pos, CASE WHEN {_ODD_SQ
     lambda m: _texts(m).select("pos", T.without_unpaired(F.col("text")).alias("fixed"))
 )
 
+
+def _pipeline_sql() -> str:
+    """The fixes one after the other, as the columns s1 to s8, by the twins of the single
+    ones; ends in the table ``s``."""
+    steps = [f"f0 AS (SELECT pos, text AS original, text AS s0 FROM manifest WHERE text IS NOT NULL AND regexp_matches(text, '\\p{{L}}'))"]
+    single = ["t04_without_non_ascii", None, "t06_straight_quotes", "t07_escaped_quotes", "t08_dashes", "t09_repeated_punctuation", "t10_sentence_case"]
+    for i, name in enumerate(single):
+        if name:
+            fix, more = ORACLE[name].removeprefix("SELECT pos, ").split(" AS fixed FROM manifest")[0].replace("text", f"s{i}"), ""
+        else:
+            fix, more = _entities_sql(f"s{i}")[1], ", entity_names, entity_numbers"
+        steps.append(f"f{i + 1} AS (SELECT f{i}.*, {fix} AS s{i + 1} FROM f{i}{more})")
+    last = "s7"
+    for i, (left, right) in enumerate(T.BRACKETS):
+        steps.append(f"b{i} AS (SELECT *, CASE WHEN {_unpaired_sql(left, right, last)} THEN translate({last}, '{left}{right}', '') ELSE {last} END AS p{i} FROM {f'b{i - 1}' if i else 'f7'})")
+        last = f"p{i}"
+    steps.append(f"""s AS (SELECT *, CASE WHEN {_ODD_SQL.replace('{c}', last)} THEN replace({last}, '"', '') ELSE {last} END AS s8 FROM b{len(T.BRACKETS) - 1})""")
+    return f"{_ENTITY_TABLES}, {', '.join(steps)}"
+
+
+_FIRED_SQL = "list_filter([" + ", ".join(f"CASE WHEN s{i + 1} <> s{i} THEN '{name}' END" for i, (name, _) in enumerate(T.FIXES)) + "], lambda x: x IS NOT NULL)"
+_TIDIED_SQL = ORACLE["t12_tidied"].removeprefix("SELECT pos, ").split(" AS fixed FROM manifest")[0].replace("text", "s8")
+PIPELINE_SQL = f"{_pipeline_sql()}, fixes AS (SELECT pos, {_TIDIED_SQL} AS fixed, {_FIRED_SQL} AS fired, {_TIDIED_SQL} <> original AS modified FROM s)"
+
+
+@query("t13_fix_pipeline", "manifest", sql=f"WITH {PIPELINE_SQL} SELECT * FROM fixes")
+def fix_pipeline(m: DataFrame) -> DataFrame:
+    """``(pos, fixed, fired, modified)``: the fixes in order, with the names of
+    those that changed the text.  Texts without a letter are removed, by their
+    original form; the final tidying is no fix, but counts as a modification."""
+    df = _texts(m).where(T.has_letters(F.col("text"))).select("pos", "text", F.col("text").alias("s0"))
+    for i, (_, fix) in enumerate(T.FIXES):
+        df = df.withColumn(f"s{i + 1}", fix(F.col(f"s{i}")))
+    fired = F.array_compact(F.array(*[F.when(F.col(f"s{i + 1}") != F.col(f"s{i}"), name) for i, (name, _) in enumerate(T.FIXES)]))
+    done = T.tidied(F.col(f"s{len(T.FIXES)}"))
+    return df.select("pos", done.alias("fixed"), fired.alias("fired"), (done != F.col("text")).alias("modified"))
+
+
 for _i, (_name, _check) in enumerate(T.CHECKS):
     _sql = _CHECK_SQL.get(_name)
     query(f"t{14 + _i}_check_{_name}", "manifest", sql=_sql and f"SELECT pos FROM manifest WHERE text IS NOT NULL AND {_sql}")(
