@@ -8,7 +8,8 @@ from tarnloom.functions.ids import canonical_source, canonical_split, canonical_
 from tarnloom.functions.kernels import indel_ratio_udf
 from tarnloom.functions.text import normalised
 from tarnloom.operators import fuzzy
-from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, query, vid_sql
+from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, norm_sql, query, vid_sql
+from tarnloom.plans.texts import lcs_sql
 
 _BEST_SQL = f"""best AS (SELECT * FROM (SELECT *, {vid_sql()} AS v, row_number() OVER (PARTITION BY {vid_sql()}
   ORDER BY coalesce(failed, true), detection_rate DESC NULLS LAST, x1, y1, x2, y2, num_sampled_frames, source) AS rn FROM bbox) WHERE rn = 1)"""
@@ -87,21 +88,41 @@ def fuzzy_rows(m: DataFrame) -> DataFrame:
     return fuzzy.prepared(m, F.col("pos"), F.col("text"), F.col("word_count"), canonical_split(F.col("split"))).where(F.length("norm") > 0)
 
 
-@query("j06_fuzzy_within", "manifest")
+_CLASS_SQL = f"""rows AS (SELECT pos, {norm_sql("coalesce(text, '')")} AS norm, coalesce(word_count, 0) AS wc, {SPLIT_SQL} AS side FROM manifest),
+  classes AS (SELECT side, wc, norm, min(pos) AS rid, length(norm) AS len, array_position(['train', 'val', 'test'], side) AS rank FROM rows WHERE norm <> '' AND side IS NOT NULL GROUP BY ALL)"""
+
+
+def _fuzzy_sql(sides: str, steps: tuple[int, ...], more: str = "TRUE") -> str:
+    """All pairs of classes of a block; an Indel distance is at least the Levenshtein
+    distance, which sifts them (it counts bytes, up to four a character)."""
+    may = """abs(a.len - b.len) * 10 <= a.len + b.len AND levenshtein(a.norm, b.norm) * 10 <= (a.len + b.len) * CASE WHEN regexp_matches(a.norm || b.norm, '[^\\x00-\\x7F]') THEN 4 ELSE 1 END"""
+    met = " UNION ALL ".join(
+        f"""SELECT a.side AS side_a, b.side AS side_b, a.rid AS rid_a, b.rid AS rid_b, a.norm AS x, b.norm AS y, a.len + b.len AS n FROM classes a JOIN classes b ON b.wc = a.wc + {k} AND {sides}
+        WHERE {more if k == 0 else 'TRUE'} AND {may}""" for k in steps)
+    codes = lambda c: f"list_transform(string_split({c}, ''), lambda c: unicode(c))"
+    return f"""{_CLASS_SQL}, met AS MATERIALIZED ({met}), apart AS MATERIALIZED (SELECT *, {codes('x')} AS a, {codes('y')} AS b FROM met WHERE x <> y),
+      scored AS (SELECT side_a, side_b, rid_a, rid_b, 200.0 * ({lcs_sql('a', 'b')}) / n AS score FROM apart UNION ALL SELECT side_a, side_b, rid_a, rid_b, 100.0 FROM met WHERE x = y)"""
+
+
+@query(
+    "j06_fuzzy_within", "manifest",
+    sql=f"WITH {_fuzzy_sql('a.side = b.side', (0, 1), 'a.rid < b.rid')} SELECT side_a, side_b, least(rid_a, rid_b) AS rid_a, greatest(rid_a, rid_b) AS rid_b, round(score, 4) AS score FROM scored WHERE score >= 90",
+)
 def fuzzy_within(m: DataFrame) -> DataFrame:
     """``(side_a, side_b, rid_a, rid_b, score)``: similar classes of a split, each named
     by its smallest position; ``j06_members`` has their rows."""
     return fuzzy.scored_pairs(fuzzy_rows(m), across=False).withColumn("score", F.round("score", 4))
 
 
-@query("j06_members", "manifest")
+@query("j06_members", "manifest", sql=f"WITH {_CLASS_SQL} SELECT pos, rid FROM rows JOIN classes USING (side, wc, norm)")
 def fuzzy_members(m: DataFrame) -> DataFrame:
     """``(pos, rid)``: the class of every row in ``j06`` and ``j07``."""
     return fuzzy.members(fuzzy_rows(m))
 
 
-@query("j07_fuzzy_across", "manifest")
+@query("j07_fuzzy_across", "manifest", sql=f"WITH {_fuzzy_sql('a.rank < b.rank', (0, 1))} SELECT side_a, side_b, rid_a, rid_b, round(score, 4) AS score FROM scored WHERE score >= 90")
 def fuzzy_across(m: DataFrame) -> DataFrame:
+    """As ``j06_fuzzy_within``, between splits; the earlier split first."""
     return fuzzy.scored_pairs(fuzzy_rows(m), across=True).withColumn("score", F.round("score", 4))
 
 
