@@ -88,19 +88,24 @@ def fuzzy_rows(m: DataFrame) -> DataFrame:
     return fuzzy.prepared(m, F.col("pos"), F.col("text"), F.col("word_count"), canonical_split(F.col("split"))).where(F.length("norm") > 0)
 
 
+_LETTERS = "etaoinsrhldcumgpbw"
+_COUNTS_SQL = ", ".join(f"len - length(replace(norm, '{c}', '')) AS n_{c}" for c in _LETTERS)
 _CLASS_SQL = f"""rows AS (SELECT pos, {norm_sql("coalesce(text, '')")} AS norm, coalesce(word_count, 0) AS wc, {SPLIT_SQL} AS side FROM manifest),
-  classes AS (SELECT side, wc, norm, min(pos) AS rid, length(norm) AS len, array_position(['train', 'val', 'test'], side) AS rank FROM rows WHERE norm <> '' AND side IS NOT NULL GROUP BY ALL)"""
+  classes AS (SELECT side, wc, norm, min(pos) AS rid, length(norm) AS len, {_COUNTS_SQL}, array_position(['train', 'val', 'test'], side) AS rank FROM rows WHERE norm <> '' AND side IS NOT NULL GROUP BY ALL)"""
 
 
 def _fuzzy_sql(sides: str, steps: tuple[int, ...], more: str = "TRUE") -> str:
-    """All pairs of classes of a block; an Indel distance is at least the Levenshtein
-    distance, which sifts them (it counts bytes, up to four a character)."""
-    may = """abs(a.len - b.len) * 10 <= a.len + b.len AND levenshtein(a.norm, b.norm) * 10 <= (a.len + b.len) * CASE WHEN regexp_matches(a.norm || b.norm, '[^\\x00-\\x7F]') THEN 4 ELSE 1 END"""
+    """All pairs of classes of a block, sifted by what an insertion or a deletion can
+    change: a letter's count by one, and the Levenshtein distance by one (in bytes, up
+    to four a character)."""
+    counts = " + ".join(f"abs(a.n_{c} - b.n_{c})" for c in _LETTERS)
     met = " UNION ALL ".join(
         f"""SELECT a.side AS side_a, b.side AS side_b, a.rid AS rid_a, b.rid AS rid_b, a.norm AS x, b.norm AS y, a.len + b.len AS n FROM classes a JOIN classes b ON b.wc = a.wc + {k} AND {sides}
-        WHERE {more if k == 0 else 'TRUE'} AND {may}""" for k in steps)
+        WHERE {more if k == 0 else 'TRUE'} AND abs(a.len - b.len) * 10 <= a.len + b.len AND ({counts}) * 10 <= a.len + b.len""" for k in steps)
     codes = lambda c: f"list_transform(string_split({c}, ''), lambda c: unicode(c))"
-    return f"""{_CLASS_SQL}, met AS MATERIALIZED ({met}), apart AS MATERIALIZED (SELECT *, {codes('x')} AS a, {codes('y')} AS b FROM met WHERE x <> y),
+    return f"""{_CLASS_SQL}, sifted AS MATERIALIZED ({met}),
+      met AS MATERIALIZED (SELECT * FROM sifted WHERE levenshtein(x, y) * 10 <= n * CASE WHEN regexp_matches(x || y, '[^\\x00-\\x7F]') THEN 4 ELSE 1 END),
+      apart AS MATERIALIZED (SELECT *, {codes('x')} AS a, {codes('y')} AS b FROM met WHERE x <> y),
       scored AS (SELECT side_a, side_b, rid_a, rid_b, 200.0 * ({lcs_sql('a', 'b')}) / n AS score FROM apart UNION ALL SELECT side_a, side_b, rid_a, rid_b, 100.0 FROM met WHERE x = y)"""
 
 

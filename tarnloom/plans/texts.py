@@ -214,7 +214,7 @@ def lcs_sql(a: str, b: str) -> str:
     """The length of the longest common subsequence of two lists of integers: a row of
     the table per element of the first, whose greatest values so far are the next row."""
     step = f"list_transform(range(1, len({b}) + 1), lambda j: CASE WHEN ({b})[j] = x[1] THEN (CASE WHEN j > 1 THEN s[j - 1] ELSE 0 END) + 1 ELSE s[j] END)"
-    best = f"list_transform(range(1, len({b}) + 1), lambda k: list_max(({step})[1:k]))"
+    best = f"list_transform([{step}], lambda v: list_transform(range(1, len({b}) + 1), lambda k: list_max(v[1:k])))[1]"  # the step once
     return f"CASE WHEN len({b}) = 0 THEN 0 ELSE coalesce(list_max(list_reduce(list_transform({a}, lambda e: [e::BIGINT]), lambda s, x: {best}, list_transform({b}, lambda e: 0::BIGINT))), 0) END"
 
 
