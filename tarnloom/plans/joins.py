@@ -109,6 +109,19 @@ def _fuzzy_sql(sides: str, steps: tuple[int, ...], more: str = "TRUE") -> str:
       scored AS (SELECT side_a, side_b, rid_a, rid_b, 200.0 * ({lcs_sql('a', 'b')}) / n AS score FROM apart UNION ALL SELECT side_a, side_b, rid_a, rid_b, 100.0 FROM met WHERE x = y)"""
 
 
+_RANK_SQL = "array_position(['train', 'val', 'test'], {c})"
+#: ``gone(pos, split, reason)``: clusters within a side keep their first row; what is
+#: left goes if it matches a side before its own
+REMOVALS_SQL = f"""RECURSIVE {_fuzzy_sql('TRUE', (0, 1), 'a.rid < b.rid')}, pairs AS MATERIALIZED (SELECT * FROM scored WHERE score >= 90),
+  links AS (SELECT rid_a AS a, rid_b AS b FROM pairs WHERE side_a = side_b UNION SELECT rid_b, rid_a FROM pairs WHERE side_a = side_b),
+  reached AS (SELECT a AS node, a AS seen FROM links UNION SELECT reached.node, links.b FROM reached JOIN links ON links.a = reached.seen),
+  keepers AS (SELECT node AS rid, min(seen) AS keep FROM reached GROUP BY node),
+  within AS MATERIALIZED (SELECT pos, side FROM rows JOIN classes USING (side, wc, norm) LEFT JOIN keepers USING (rid) WHERE pos <> coalesce(keep, rid)),
+  across AS (SELECT CASE WHEN {_RANK_SQL.replace('{c}', 'side_a')} < {_RANK_SQL.replace('{c}', 'side_b')} THEN rid_b ELSE rid_a END AS pos FROM pairs
+    WHERE side_a <> side_b AND rid_a NOT IN (SELECT pos FROM within) AND rid_b NOT IN (SELECT pos FROM within)),
+  gone AS (SELECT pos, side AS split, 'within' AS reason FROM within UNION ALL SELECT DISTINCT pos, side, 'across' FROM across JOIN rows USING (pos))"""
+
+
 @query(
     "j06_fuzzy_within", "manifest",
     sql=f"WITH {_fuzzy_sql('a.side = b.side', (0, 1), 'a.rid < b.rid')} SELECT side_a, side_b, least(rid_a, rid_b) AS rid_a, greatest(rid_a, rid_b) AS rid_b, round(score, 4) AS score FROM scored WHERE score >= 90",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from tarnloom.functions import text as T
 from tarnloom.functions.ids import canonical_source, canonical_split, canonical_vid
 from tarnloom.operators import graph, profile as P, series as S, splitting as R
-from tarnloom.plans.joins import _BEST_SQL, best_boxes, fuzzy_rows
+from tarnloom.plans.joins import _BEST_SQL, REMOVALS_SQL, best_boxes, fuzzy_rows
 from tarnloom.operators import fuzzy
 from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, norm_sql, query, vid_sql
 
@@ -369,7 +369,7 @@ def conserved(m: DataFrame) -> DataFrame:
     return both.select("before", "after", ((F.col("before") == F.col("after")) & (F.col("d") == F.col("after"))).alias("conserved"))
 
 
-@query("r03_removal_priority", "manifest")
+@query("r03_removal_priority", "manifest", sql=f"WITH {REMOVALS_SQL} SELECT pos, split, reason FROM gone")
 def removal_priority(m: DataFrame) -> DataFrame:
     """``(pos, split, reason)``: rows removed as a fuzzy copy within their split, or
     as a copy of a row of a split before theirs (train, val, test)."""
