@@ -132,6 +132,35 @@ def sorted_sink(spark: SparkSession, d: str) -> DataFrame:
     return R.read_separated(spark, path, ddl="vid string, detection_rate double")
 
 
+@with_session("k03_csv_sink", sql="SELECT doc_id, doc_kind, n_chars FROM documents")
+def csv_sink(spark: SparkSession, d: str) -> DataFrame:
+    """A table as CSV with its columns in a fixed order, read back."""
+    path = scratch(spark, "docs-csv")
+    K.write_separated(table(spark, d, "documents"), path, ["doc_id", "doc_kind", "n_chars"], sep=",")
+    return R.read_separated(spark, path, sep=",", ddl="doc_id long, doc_kind string, n_chars long")
+
+
+@with_session("k06_deleted_sources", sql="SELECT source_file, count(*) AS jobs FROM clip_jobs WHERE source_file IS NOT NULL GROUP BY 1")
+def deleted_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Source files logged as deleted, split by split, each append with the columns
+    of the first; rows without a source file are not logged."""
+    path = scratch(spark, "deleted")
+    jobs = table(spark, d, "clip_jobs").where("source_file IS NOT NULL").withColumn("s", F.coalesce(canonical_split(F.col("split")), F.lit("none")))
+    for s in ("train", "val", "test", "none"):
+        K.append_log(jobs.where(F.col("s") == s), path, ["source_file", "vid", "reason"])
+    return R.read_separated(spark, path, sep=",").groupBy("source_file").agg(F.count("*").alias("jobs"))
+
+
+@with_session("k13_run_config", sql="SELECT unnest(['rows', 'tables']) AS name, unnest([count(*)::VARCHAR, '[\"manifest\"]']) AS value FROM manifest")
+def run_config(spark: SparkSession, d: str) -> DataFrame:
+    """The configuration of a run as a text report, ``name = JSON`` a line, read back."""
+    path = scratch(spark, "config")
+    text = K.render_config({"tables": ["manifest"], "rows": table(spark, d, "manifest").count()})
+    spark.createDataFrame([(line,) for line in text.splitlines()], "value string").coalesce(1).write.text(path)
+    line = F.split("value", " = ", 2)
+    return spark.read.text(path).select(line[0].alias("name"), line[1].alias("value"))
+
+
 @with_session("k04_k11_versions", sql="SELECT split, count(*) AS n FROM manifest WHERE split IS NOT NULL GROUP BY 1")
 def versions(spark: SparkSession, d: str) -> DataFrame:
     """Two versions committed; the reader sees the second, the first is a backup."""
