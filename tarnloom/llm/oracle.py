@@ -75,6 +75,7 @@ ORACLE: dict[str, str] = {
       SELECT one.split, {SOURCE_SQL} AS source, count(DISTINCT pos) AS eval_rows, count(*) FILTER (WHERE exact) AS same_pairs, count(*) FILTER (WHERE NOT exact) AS near_pairs
       FROM one JOIN manifest USING (pos) GROUP BY 1, 2""",
     "p6_found": f"WITH {CAPTIONS} SELECT a.pos AS pos_a, b.pos AS pos_b FROM captions a JOIN captions b ON a.shown = b.shown AND a.text <> b.text AND a.pos < b.pos",
+    "p6_canonical": f"SELECT pos, text, {_DISPLAY} AS canonical FROM manifest",
     "p7_found": f"WITH RECURSIVE {_LINKS} SELECT min(seen) AS group_vid, node AS vid FROM r GROUP BY node",
     "p9_found": f"WITH {_TEN} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
     "p9_leaked": f"""WITH {_SPLIT},
