@@ -9,7 +9,7 @@ from tarnloom.functions.ids import canonical_source, canonical_split
 from tarnloom.operators import fuzzy, splitting
 from tarnloom.plans.filters import WPS_SQL
 from tarnloom.plans.joins import REMOVALS_SQL, fuzzy_rows
-from tarnloom.plans.lineage import table
+from tarnloom.plans.lineage import cut, table
 from tarnloom.plans.registry import SOURCE_SQL, SPLIT_SQL, norm_sql, query
 from tarnloom.plans.texts import PIPELINE_SQL, fix_pipeline
 
@@ -57,6 +57,7 @@ def curated(m: DataFrame) -> DataFrame:
     slow = m.where(~F.coalesce((w > 5.0) & ~F.isnan(w), F.lit(False)))
     gone = fuzzy.removals(fuzzy_rows(slow)).select("pos")
     kept = slow.join(gone, "pos", "left_anti")
-    fixed = fix_pipeline(kept).select("pos", "fixed").join(kept.select("pos", "source"), "pos")
+    # written, since ranking reads its input more than once
+    fixed = cut(fix_pipeline(kept, "source").select("pos", "fixed", "source"), "fixed")
     out = splitting.stratified(fixed, "pos", canonical_source(F.col("source")))
     return out.select("pos", F.col("fixed").alias("text"), "source", "new_split")
